@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import quality_rules as qr
 from .common import materialize, table
 
@@ -17,5 +19,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qr.judge(measured, limits).select("doc_id", *qr.METRICS, "base_failed", "kept")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, packing, tokens
 from . import quality_rules as qr
 from .common import materialize, table
 
@@ -26,5 +26,22 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
+def vocabulary() -> tuple[str, str, str]:
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokens.attribute(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {
+    "op1_lexical_packing": op1_lexical_packing,
+    "op5_token_counts": op5_token_counts,
+    "op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}

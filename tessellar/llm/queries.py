@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokens
+from . import bpe, packing, pitman_yor, tokens
 from . import quality_rules as qr
 from .common import materialize, table
 
@@ -40,7 +40,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_pitman_yor": op9_pitman_yor,
     "op1_lexical_packing": op1_lexical_packing,
     "op5_token_counts": op5_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}

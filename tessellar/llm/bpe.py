@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 #: Longer words are merged with a heap instead of the fold, whose work grows with the square of the length.
 LONG_WORD = 96
 WORDS_A_ROW = 20_000
@@ -192,17 +192,23 @@ def _assemble(pattern: str, text_at: int, ranks: dict[bytes, int], keep: list[in
 
 
 def fold(word: str, table: str, byte_ids: str) -> str:
-    """SQL for the ids of a word, an array of byte values: one merge of the lowest rank, leftmost first, in each step."""
-    key = "cast(s[i] as bigint) * 65536 + s[i + 1]"
-    slot = lambda f: f"{table}[cast((({key}) * {f} div 16777216) % {_SLOTS} as int)]"
-    rank = f"case when {slot(_FACTORS[0])} div 65536 = {key} then {slot(_FACTORS[0])} % 65536 * 65536 + i when {slot(_FACTORS[1])} div 65536 = {key} then {slot(_FACTORS[1])} % 65536 * 65536 + i end"
-    best = f"array_min(transform(sequence(0, size(s) - 2), i -> {rank}))"
-    step = f"case when size(s) < 2 then s else transform(array({best}), b -> case when b is null then s else concat(slice(s, 1, cast(b % 65536 as int)), array(cast(b div 65536 as int)), slice(s, cast(b % 65536 as int) + 3, size(s))) end)[0] end"
-    start = f"transform({word}, x -> {byte_ids}[x])"
-    return f"aggregate(case when size({word}) > 1 then sequence(2, size({word})) else cast(array() as array<int>) end, {start}, (s, k) -> {step})"
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """SQL for the ids of a word, an array of byte values: one merge of the lowest rank, leftmost first, in each step.
+
+    The state holds the ids and the ranks of the pairs between them, so that a step looks up only the two pairs a merge makes.
+    """
+    slot = lambda f: f"{table}[cast((k * {f} div 16777216) % {_SLOTS} as int)]"
+    hit = lambda f: f"transform(array({slot(f)}), e -> case when e div 65536 = k then cast(e % 65536 as int) end)[0]"
+    rank = lambda x, y: f"transform(array(cast({x} as bigint) * 65536 + {y}), k -> coalesce({hit(_FACTORS[0])}, {hit(_FACTORS[1])}))[0]"
+    none = "cast(array() as array<int>)"
+    left = f"case when p > 1 then concat(slice(a.r, 1, p - 2), array({rank('a.s[p - 2]', 'b')})) else {none} end"
+    right = f"case when p < size(a.r) then concat(array({rank('b', 'a.s[p + 1]')}), slice(a.r, p + 2, size(a.r))) else {none} end"
+    merged = f"named_struct('s', concat(slice(a.s, 1, p - 1), array(b), slice(a.s, p + 2, size(a.s))), 'r', concat({left}, {right}))"
+    step = f"transform(array(array_min(a.r)), b -> case when b is null then a else transform(array(cast(array_position(a.r, b) as int)), p -> {merged})[0] end)[0]"
+    first = f"transform(array(transform({word}, x -> {byte_ids}[x])), s -> named_struct('s', s, 'r', case when size(s) > 1 then transform(sequence(0, size(s) - 2), i -> {rank('s[i]', 's[i + 1]')}) else {none} end))[0]"
+    return f"aggregate(case when size({word}) > 1 then sequence(2, size({word})) else {none} end, {first}, (a, j) -> {step}, a -> a.s)"
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with `ids`: packed unsigned 32-bit little-endian token ids of the whole text."""
     spark = docs.sparkSession
     docs = docs.drop("ids")
@@ -220,8 +226,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     have = F.col("_words").isNotNull()
     announced = announced.withColumns({"_slots": F.when(have, view.select("slots").scalar()), "_letters": F.when(have, view.select("letters").scalar())})
     merged = announced.withColumn("_ids", F.expr(f"transform(_words, w -> {fold('w', '_slots', '_letters')})")).drop("_slots", "_letters")
-    keep = list(range(len(fields)))
-    return merged.mapInArrow(_assemble(pattern, at, ranks, keep, docs.columns), T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
+    keep = [i for i in range(len(fields)) if keep_text or i != at]
+    return merged.mapInArrow(_assemble(pattern, at, ranks, keep, [fields[i].name for i in keep]), T.StructType([*[fields[i] for i in keep], T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

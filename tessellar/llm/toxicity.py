@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from .labelled import sample
 
+#: Score of a text on the border.
+CUT = 0.7
 _TRIM = b".,;:!?\"'()"
 
 
@@ -45,11 +47,12 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 40, rate: float = 0.3, l1: float = 2e-3, least: int = 4, seed: int = 3) -> tuple[dict[bytes, float], float]:
+def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 40, rate: float = 0.3, l1: float = 1e-4, least: int = 4, ratio: float = 3.0, seed: int = 3) -> tuple[dict[bytes, float], float]:
     """Weights by feature, and the offset."""
     found = [[features(t) for t in group] for group in (positive, unlabelled)]
-    df = Counter(x for group in found for f in group for x in f)
-    names = sorted(x for x, n in df.items() if n >= least)
+    df, df_u = (Counter(x for f in group for x in f) for group in found)
+    # features as common among toxic texts as elsewhere tell nothing: keep those `ratio` times as common
+    names = sorted(x for x, n in df.items() if n >= max(least, 0.01 * len(positive)) and n * len(unlabelled) >= ratio * (df_u[x] + 1) * len(positive))
     number = {x: i for i, x in enumerate(names)}
     sets = [[np.array(sorted(number[x] for x in f if x in number), np.int64) for f in group] for group in found]
     w, b, rng = np.zeros(len(names)), float(np.log(prior / (1 - prior))), np.random.default_rng(seed)
@@ -76,6 +79,14 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: in
             w -= step * g
             w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * prior, 0)
             b -= rate * float(d[0].sum() + d[1].sum())
+    # the cut with the largest recall**2 / share of unlabelled texts above it becomes the score CUT
+    z = [np.array([w[x].sum() for x in g]) + b for g in sets]
+    cuts = np.unique(np.concatenate(z))
+    cuts = (cuts[1:] + cuts[:-1]) / 2
+    if len(cuts):
+        recall, share = (1 - np.searchsorted(np.sort(x), cuts) / max(len(x), 1) for x in z)
+        best = int(np.argmax(recall**2 / np.maximum(share, 1 / max(len(unlabelled), 1))))
+        b += float(np.log(CUT / (1 - CUT)) - cuts[best])
     return {x: float(w[i]) for x, i in number.items() if w[i]}, b
 
 

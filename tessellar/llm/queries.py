@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pitman_yor, quality_net, tokens, toxicity
+from . import bpe, packing, pii, pitman_yor, quality_net, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -56,7 +56,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.trees(spark)).drop("text")
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("found").alias("spans"))
+
+
 QUERIES = {
+    "op4_pii_boosting": op4_pii_boosting,
     "op6_quality_net": op6_quality_net,
     "op7_toxicity": op7_toxicity,
     "op9_pitman_yor": op9_pitman_yor,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, pitman_yor, quality_net, tokens, toxicity
+from . import bpe, jaccard_join, packing, pii, pitman_yor, quality_net, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -62,7 +62,12 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("found").alias("spans"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_pii_boosting": op4_pii_boosting,
     "op6_quality_net": op6_quality_net,
     "op7_toxicity": op7_toxicity,

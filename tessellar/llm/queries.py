@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, packing, pii, pitman_yor, quality_net, tokens, toxicity
+from . import bpe, hilbert_ann, jaccard_join, packing, pii, pitman_yor, quality_net, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -66,7 +66,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
+    "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_pii_boosting": op4_pii_boosting,
     "op6_quality_net": op6_quality_net,

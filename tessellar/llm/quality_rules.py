@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP
+from .common import GAP, materialize
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _RATIOS = {
@@ -116,8 +116,11 @@ def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> Dat
     return out.withColumn("kept", ~F.col("base_failed") & ~above).drop("_l", "_s", "_g0", "_l1", "_g1", "_limit")
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), store=None) -> DataFrame:
-    """docs with their measures, base_failed and kept. store: keeps a small frame (cut-offs) so that it is computed once."""
-    measured = with_metrics(docs)
-    limits = cutoffs(sketches(measured), rules)
-    return judge(measured, store(limits) if store else limits, rules)
+def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """docs with their measures, base_failed and kept.
+
+    The measured rows are written once: the sketches and the verdicts read the same figures, and no filter on a verdict is
+    pushed into the expressions behind it.
+    """
+    measured = materialize(with_metrics(docs), "measured")
+    return judge(measured, materialize(cutoffs(sketches(measured), rules), "limits"), rules)

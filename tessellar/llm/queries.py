@@ -12,9 +12,8 @@ from .common import fold, materialize, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    measured = qr.with_metrics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    measured = materialize(measured, "op10")  # counts only: the texts are read and measured once
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    measured = materialize(qr.with_metrics(docs).drop("text"), "op10")  # counts only: the texts are read and measured once
     limits = materialize(qr.cutoffs(qr.sketches(measured), qr.Rules()), "op10-limits")
     return qr.judge(measured, limits).select("doc_id", *qr.METRICS, "base_failed", "kept")
 

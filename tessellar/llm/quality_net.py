@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import sample
+from .labelled import of_class
 
 WIDTH, STRIDE, HALF, EMBED, FILTERS = 8, 4, 512, 8, 16
 #: Bytes that are convolved at once.
@@ -114,10 +113,10 @@ def _gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> list[np.ndar
     return [d_embed, d_filters, np.bincount(k, g, FILTERS).astype(np.float32), features.T @ error, np.array([error.sum()], np.float32)]
 
 
-def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "quality", rows: int = 1000, epochs: int = 10, seed: int = 5) -> Net | None:
-    """A net from at most `rows` texts of either label among the rows where fold_ok (a Column on doc_id) holds."""
-    known = docs.select("doc_id", "text").join(F.broadcast(labels.filter(fold_ok).select("doc_id", label).distinct()) if labels.count() <= 500_000 else labels.filter(fold_ok).select("doc_id", label).distinct(), "doc_id")
-    one, zero = (sample(known, F.col(label) == k, rows) for k in (1, 0))
+def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "quality", rows: int = 1500, epochs: int = 16, seed: int = 5) -> Net | None:
+    """A net from about `rows` texts of either label among the rows where fold_ok (a Column on doc_id) holds."""
+    known = labels.filter(fold_ok)
+    one, zero = (of_class(docs, known, label, k, rows) for k in (1, 0))
     if not one or not zero:
         return None
     rng = np.random.default_rng(seed)
@@ -135,6 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "quality", r
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 params[i] -= (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    # the sample holds both labels alike; the labelled rows do not
+    shares = dict(known.groupBy(label).count().collect())
+    net.offset += np.float32(np.log(shares[1] / shares[0] * len(zero) / len(one)))
     return net
 
 

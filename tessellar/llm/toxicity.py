@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import sample
+from .labelled import of_class, some, texts
 
 #: Score of a text on the border.
 CUT = 0.7
@@ -85,7 +85,8 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: in
     cuts = (cuts[1:] + cuts[:-1]) / 2
     if len(cuts):
         recall, share = (1 - np.searchsorted(np.sort(x), cuts) / max(len(x), 1) for x in z)
-        best = int(np.argmax(recall**2 / np.maximum(share, 1 / max(len(unlabelled), 1))))
+        # the share cannot be below that of the toxic texts found; less means that the sample of positives was learnt by heart
+        best = int(np.argmax(recall**2 / np.maximum(share, np.maximum(prior * recall, 1e-9))))
         b += float(np.log(CUT / (1 - CUT)) - cuts[best])
     return {x: float(w[i]) for x, i in number.items() if w[i]}, b
 
@@ -96,11 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "toxic", pos
     toxic, rows = known.agg(F.count(F.when(F.col(label) == 1, 1)), F.count(label)).first()
     if not toxic:
         return None
-    found = known.filter(F.col(label) == 1).select("doc_id")
-    found = F.broadcast(found) if toxic <= 500_000 else found
-    texts = sample(docs.select("doc_id", "text").join(found, "doc_id"), F.lit(True), positives)
-    others = sample(docs.select("doc_id", "text").filter(fold_ok), F.lit(True), unlabelled)
-    return fit(texts, others, min(0.5, toxic / rows))
+    confirmed = of_class(docs, known, label, 1, positives)
+    clean = docs.select("doc_id", "text").filter(fold_ok)
+    others = texts(some(clean, clean.count(), unlabelled), unlabelled)
+    return fit(confirmed, others, min(0.5, toxic / rows)) if confirmed and others else None
 
 
 def classify(docs: DataFrame, model: tuple[dict[bytes, float], float] | None, text: str = "text") -> DataFrame:

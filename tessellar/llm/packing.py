@@ -32,6 +32,8 @@ class Packer:
     end_id: int = 1
     query_terms: int = 24
     neighbours: int = 16
+    #: Share of the best neighbour's score below which another is no alternative to cutting the best.
+    near: float = 0.5
     k1: float = 1.2
     b: float = 0.75
 
@@ -100,7 +102,7 @@ def pack_shard(documents: list[np.ndarray], p: Packer) -> list[tuple[int, int, i
             while room and unused.any():
                 score = np.where(unused, index.scores(seed), -1.0)
                 best = np.argsort(-score, kind="stable")[: p.neighbours]
-                best = [i for i in best.tolist() if unused[i]]
+                best = [i for i in best.tolist() if unused[i] and score[i] >= p.near * score[best[0]]]
                 for i in best:
                     if left[i] <= room:
                         place(i)

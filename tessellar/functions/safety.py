@@ -57,6 +57,9 @@ def spurious(text: Column, tokens: Column) -> Column:
         artefact = artefact | (norm == folded) | (norm.contains(folded) & (F.length(norm) < len(folded) * 2.5))
     n = F.size(tokens)
 
+    def grams(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
+
     def top(grams: Column) -> Column:
         """The most frequent element's count: the longest run of the sorted array."""
         start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -69,6 +72,5 @@ def spurious(text: Column, tokens: Column) -> Column:
 
     loop = F.lit(False)
     for size in (1, 2, 3, 4):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i, size=size: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
-        loop = loop | ((n >= 6) & (n >= (3 * size if size > 1 else 6)) & (top(grams) * size >= 0.6 * n))
+        loop = loop | ((n >= 6) & (n >= (3 * size if size > 1 else 6)) & (top(grams(size)) * size >= 0.6 * n))
     return F.when(F.trim(text) == "", False).otherwise(text.rlike(fixed.FILLER) | (F.length(F.trim(text)) < 2) | artefact | loop)

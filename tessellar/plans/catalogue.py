@@ -404,7 +404,7 @@ def escalate_once(spark, d):
 
 # ---- events ---------------------------------------------------------------------------------------------------
 def _sessions_sql(gap: int) -> str:
-    return f"""with g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= {gap} * 1000000 then 0 else 1 end as new from events),
+    return f"""with g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= {gap * 1_000_000} then 0 else 1 end as new from events),
     s as (select *, sum(new) over (partition by user_id order by ts, event_id) as session_no from g) select user_id, cast(session_no as bigint) as session_no, min(ts) as started, max(ts) as ended, count(*) as n from s group by user_id, session_no"""
 
 

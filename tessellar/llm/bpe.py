@@ -28,6 +28,8 @@ MOST_WORDS = 250_000
 #: Longer words are merged with a heap instead of the fold, whose work grows with the square of the length.
 LONG_WORD = 96
 WORDS_A_ROW = 20_000
+#: Texts handled at once.
+SLICE = 1000
 #: A pair can take two places in the rank map: (pair * factor div 2**24) % _SLOTS for each factor.
 _SLOTS = 524_287
 _FACTORS = (1_041_204_193, 878_350_721)
@@ -90,6 +92,12 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def units(text: str) -> list[str]:
     """Cut before each space that precedes a non-space: no match of the pattern spans such a place."""
     return _UNIT.split(text) if _BREAK.search(text) else text.split(" ")
@@ -102,7 +110,7 @@ def _announce(pattern: str, text_at: int) -> Callable[[Iterator[pa.RecordBatch]]
         find = regex.compile(pattern).findall
         chunks: set[str] = set()
         known: set[str] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(text_at).to_pylist()
             fresh: dict[str, None] = {}
             if len(known) > MOST_WORDS:
@@ -158,7 +166,7 @@ def _assemble(pattern: str, text_at: int, ranks: dict[bytes, int], keep: list[in
                 out.append(got)
             return b"".join(out)
 
-        for batch in batches:
+        for batch in _slices(batches):
             words, merged = batch.column(batch.schema.get_field_index("_words")), batch.column(batch.schema.get_field_index("_ids"))
             is_doc = np.asarray(words.is_null())
             edges = [0, *(np.flatnonzero(np.diff(is_doc)) + 1).tolist(), len(is_doc)]
@@ -239,7 +247,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
         pieces[rank] = word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = [None if x is None else b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert_ann, jaccard_join, packing, pii, pitman_yor, quality_net, tokens, toxicity
+from . import bpe, hilbert_ann, jaccard_join, oracles, packing, pii, pitman_yor, quality_net, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -79,4 +79,4 @@ QUERIES = {
     "op1_lexical_packing": op1_lexical_packing,
     "op5_token_counts": op5_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_jaccard_join": oracles.OP3, "op10_quality_rules": oracles.OP10}

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import materialize
 
 SLOT_BITS, CHUNKS = 20, 64
-BLOCK = 1500
+BLOCK = 1000
 LEAF, FAN = 4, 8
 MOST_WORDS = 300_000
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -86,37 +86,37 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n, class) of each row, and rows (chunk, counts) with each task's part of the sketch."""
+    """(doc_id, n, class, bits) of each row, and rows (chunk, bits) with each task's part of the sketch."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts, id_type = Shingler(join.width), np.zeros(1 << SLOT_BITS, np.uint32), None
         for batch in batches:
-            id_type, n, name = batch.column(0).type, [], []
+            id_type, n, name, bits = batch.column(0).type, [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
                 np.add.at(counts, _slots(s), 1)
                 n.append(len(s))
                 name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), *none], names=schema.names)
+                bits.append(bitmap(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.nulls(len(n), pa.int32()), pa.array(bits, pa.binary())], names=schema.names)
         if id_type is not None:
             parts = [x.tobytes() for x in np.split(counts, CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
 
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("chunk", T.IntegerType()), T.StructField("bits", T.BinaryType())])
     return _texts(docs).mapInArrow(run, schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows.column("counts").to_pylist())
-        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows.column("bits").to_pylist())
+        return pa.table({"chunk": rows.column("chunk")[:1], "bits": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    found = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # CHUNKS rows, 4 MB in all
+    found = parts.groupBy("chunk").applyInArrow(add, "chunk int, bits binary").collect()  # CHUNKS rows, 4 MB in all
     out = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint32)
     for r in found:
-        out[r.chunk] = np.frombuffer(r.counts, np.uint32)
+        out[r.chunk] = np.frombuffer(r.bits, np.uint32)
     return out.ravel()
 
 
@@ -125,23 +125,28 @@ def _postings(docs: DataFrame, sketch: np.ndarray, join: Join) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts = Shingler(join.width), shared.value
+        shingle, counts, seen = Shingler(join.width), shared.value, set()
         for batch in batches:
             token, name, size = [np.zeros(0, np.uint64)], [], []
+            if len(seen) > MOST_WORDS:
+                seen.clear()
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
-                if len(s):
+                own = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if len(s) and own not in seen:
+                    seen.add(own)
                     p = prefix_length(len(s), join.percent)
                     token.append(s[np.lexsort((s, counts[_slots(s)]))[:p]])
-                    name += [hashlib.blake2b(s.tobytes(), digest_size=16).digest()] * p
+                    name += [own] * p
                     size += [len(s)] * p
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), pa.array(name, pa.binary()), pa.array(size, pa.int64())], names=["token", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), pa.array(name, pa.binary()), pa.array(size, pa.int32())], names=["token", "class", "n"])
 
-    return _texts(docs).mapInArrow(run, "token long, class binary, n long").distinct()
+    # one exchange by the token serves the removal of copies and all windows over groups
+    return _texts(docs).mapInArrow(run, "token long, class binary, n int").repartition("token").dropDuplicates(["token", "class"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(class, n, tokens, bits) of one document per wanted class (doc_id, class)."""
+    """(class, n, tokens) of one document per wanted class (doc_id, class)."""
     few = wanted.count() <= join.broadcast_rows
     chosen = _texts(docs.join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi"))
 
@@ -151,9 +156,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["class", "n", "tokens", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), tokens], names=["class", "n", "tokens"])
 
-    return chosen.mapInArrow(run, "class binary, n long, tokens array<long>, bits binary").dropDuplicates(["class"])
+    return chosen.mapInArrow(run, "class binary, n long, tokens array<long>").dropDuplicates(["class"])
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -254,45 +259,108 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps leave room for a link."""
+    side = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = lambda row, k: Leaf(row[k], row["n" + k], np.frombuffer(row["bits" + k], np.uint64), row[k])
+            keep = [may_link(leaf(row, "a"), leaf(row, "b"), join.percent) for row in batch.to_pylist()]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a binary, b binary")
+
+
 def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     first = materialize(_classes(docs, join), "jaccard-classes")
     rows = first.filter("chunk is null").select("doc_id", "n", "class")
-    sketch = _sketch(first.filter("chunk is not null").select("chunk", "counts"))
-    group = Window.partitionBy("token")
-    pivot = Window.partitionBy("token").orderBy(F.xxhash64("class", F.pmod("token", F.lit(join.pivots))), "class")
-    shared = _postings(docs, sketch, join).withColumn("members", F.count("*").over(group)).filter("members > 1")
-    shared = materialize(shared.withColumns({"pivot": F.first("class").over(pivot), "pn": F.first("n").over(pivot)}), "jaccard-shared")
+    # the bitmaps of a class's copies are equal
+    classes = first.filter("chunk is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sketch = _sketch(first.filter("chunk is not null").select("chunk", "bits"))
+    # a group falls apart where sizes in order leave a gap that no link can span
+    by_size = Window.partitionBy("token").orderBy("n", "class")
+    gap = F.coalesce((100 * F.lag("n").over(by_size) < join.percent * F.col("n")).cast("int"), F.lit(0))
+    shared = _postings(docs, sketch, join).withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_size))
+    group = Window.partitionBy("token", "part")
+    pivot = group.orderBy(F.xxhash64("class", F.pmod("token", F.lit(join.pivots))), "class")
+    shared = shared.withColumn("members", F.count("*").over(group)).filter("members > 1")
+    shared = shared.withColumns({"pivot": F.first("class").over(pivot), "pn": F.first("n").over(pivot)}).drop("gap")
+    shared = materialize(shared, "jaccard-shared")
     sized = (100 * F.col("n") >= join.percent * F.col("pn")) & (100 * F.col("pn") >= join.percent * F.col("n"))
     pairs = shared.filter(sized & (F.col("class") != F.col("pivot"))).select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    pairs = materialize(pairs, "jaccard-pairs")
-    wanted = shared.filter("members > 2").select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs, rows.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi"), join), "jaccard-sets")
-    links = materialize(_verified(pairs, sets, join), "jaccard-links")
+    pairs = materialize(_possible(pairs, classes, join), "jaccard-pairs")
+    ids = classes.select("class", "doc_id")
+    sets_of = lambda p: materialize(_sets(docs, ids.join(p.select(F.col("a").alias("class")).union(p.select("b")).distinct(), "class", "left_semi"), join), "jaccard-sets")
+    links = materialize(_verified(pairs, sets_of(pairs), join), "jaccard-links")
     label = components(links)
     # groups that still span several components
-    left = shared.filter("members > 2").join(label, "class", "left").select("token", "class", "members", F.coalesce("component", "class").alias("component"))
-    spans = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    left = shared.filter("members > 2").join(label, "class", "left").select("token", "part", "class", "members", F.coalesce("component", "class").alias("component"))
+    left = left.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group)}).filter("x <> y")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = left.join(spans, "token", "left_semi").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("class"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
-    dealt = dealt.join(sets.select("class", "n", "bits"), "class")
+    dealt = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("token", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
+    dealt = materialize(dealt, "jaccard-dealt")
+    keys = ["token", "part", "i", "j"]
 
-    def trees(rows: pa.Table) -> pa.Table:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    def sides_of(rows: pa.Table) -> tuple[dict[int, list[Leaf]], int, int]:
         sides: dict[int, list[Leaf]] = {}
         for own, name, n, bits, component in zip(*(rows.column(k).to_pylist() for k in ("own", "class", "n", "bits", "component")), strict=True):
             sides.setdefault(own, []).append(Leaf(name, n, np.frombuffer(bits, np.uint64), component))
-        found: list[tuple[bytes, bytes]] = []
+        return sides, rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+
+    def pairs_under(rows: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        sides, i, j = sides_of(rows)
         if i in sides and j in sides:
             a = tree(sides[i])
-            found = list(traverse(a, a if i == j else tree(sides[j]), join.percent))
-        return pa.table({"a": pa.array([min(x) for x in found], pa.binary()), "b": pa.array([max(x) for x in found], pa.binary())})
+            yield from traverse(a, a if i == j else tree(sides[j]), join.percent)
 
-    more = dealt.groupBy("token", "i", "j").applyInArrow(trees, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(_verified(more, sets, join), "jaccard-late")
-    if not late.isEmpty():
-        label = components(links.union(late))
+    def trees(rows: pa.Table) -> pa.Table:
+        """The pairs that the bounds leave over; a null pair if they are many, and the block's sets must be compared where they are."""
+        found: list[tuple[bytes, bytes]] = []
+        for pair in pairs_under(rows):
+            found.append(pair)
+            if len(found) > 2 * rows.num_rows:
+                found = [(None, None)]
+                break
+        fixed = [rows.column(k)[:1].to_pylist() * len(found) for k in keys]
+        ordered = [(min(x), max(x)) if x[0] is not None else x for x in found]
+        return pa.table({"a": pa.array([x[0] for x in ordered], pa.binary()), "b": pa.array([x[1] for x in ordered], pa.binary())} | {k: pa.array(v, rows.schema.field(k).type) for k, v in zip(keys, fixed, strict=True)})
+
+    def exact(rows: pa.Table) -> pa.Table:
+        """Links that join components, found by comparing the sets of the pairs left over; connected components are passed over."""
+        sets = dict(zip(rows.column("class").to_pylist(), (np.array(x.as_py(), np.int64) for x in rows.column("tokens")), strict=True))
+        up = dict(zip(rows.column("class").to_pylist(), rows.column("component").to_pylist(), strict=True))
+
+        def root(x: bytes) -> bytes:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        found = []
+        for a, b in pairs_under(rows):
+            x, y = root(a), root(b)
+            if x == y:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= join.percent * (len(sets[a]) + len(sets[b]) - common):
+                found.append((min(a, b), max(a, b)))
+                up[max(x, y)], up[min(x, y)] = min(x, y), min(x, y)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+
+    more = dealt.join(classes.select("class", "n", "bits"), "class").groupBy(*keys).applyInArrow(trees, "a binary, b binary, token long, part long, i int, j int")
+    more = materialize(more, "jaccard-more")
+    few = more.filter("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    heavy = dealt.join(more.filter("a is null").select(*keys), keys, "left_semi")
+    late = [few, heavy.select(F.col("class").alias("a"), F.col("class").alias("b"))]
+    if not more.isEmpty():
+        sets = sets_of(late[0].union(late[1]))
+        full = heavy.join(classes.select("class", "n", "bits"), "class").join(sets.select("class", "tokens"), "class")
+        found = full.groupBy(*keys).applyInArrow(exact, "a binary, b binary")
+        label = components(links.union(_verified(few, sets, join)).union(found))
     named = rows.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "component", "left")

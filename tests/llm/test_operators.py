@@ -322,6 +322,21 @@ def test_toxicity_from_positives_and_unlabelled(spark, docs, empty):
     assert toxicity.train(frame, labels.limit(0), F.lit(True)) is None and toxicity.classify(docs, None).filter("score = 0").count() == docs.count()
 
 
+def test_toxicity_of_long_texts():
+    rng = random.Random(15)
+    bad = [b"vile%d" % i for i in range(8)]
+    text = lambda n, toxic: b" ".join(bad[rng.randrange(8)] if toxic and rng.random() < 0.02 else b"w%d" % rng.randrange(3000) for _ in range(n))
+    size = lambda i: 3000 if i % 4 == 0 else 200
+    weights, offset = toxicity.fit([text(size(i), True) for i in range(80)], [text(size(i), i % 8 == 1) for i in range(400)], 0.125)
+    score = lambda t: sum(weights.get(x, 0.0) for x in toxicity.features(t)) + offset
+    border = np.log(toxicity.CUT / (1 - toxicity.CUT))
+    assert sum(score(text(5000, True)) >= border for _ in range(20)) >= 19 and sum(score(text(5000, False)) >= border for _ in range(20)) <= 1
+    # one use in 5,000 words is a feature, and a dense passage counts wherever it stands
+    filler = [b"w%d" % i for i in range(5000)]
+    assert b"insult" in toxicity.features(b" ".join([*filler, b"insult"]))
+    assert toxicity.features(b"insult x insult y insult") <= toxicity.features(b" ".join([*filler, b"insult x insult y insult"]))
+
+
 def test_digests_of_the_queries(spark):
     from tessellar.llm.queries import QUERIES
 

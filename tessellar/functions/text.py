@@ -118,3 +118,13 @@ def cosine(a: Column, b: Column) -> Column:
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Character error rate; 0 for an empty reference."""
     return F.when(F.length(reference) > 0, F.levenshtein(reference, hypothesis) / F.length(reference)).otherwise(0.0)
+
+
+def word_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Word error rate; 0 for an empty reference. Each distinct word of the pair becomes one code point above the basic plane."""
+    words = lambda t: F.filter(F.split(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), " "), lambda w: w != "")
+    a, b = words(reference), words(hypothesis)
+    known = F.array_distinct(F.concat(a, b))
+    point = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")), "UTF-32")
+    mapped = [F.array_join(F.transform(x, point), "") for x in (a, b)]
+    return F.when(F.size(a) > 0, F.levenshtein(*mapped) / F.size(a)).when(reference.isNotNull() & hypothesis.isNotNull(), 0.0)

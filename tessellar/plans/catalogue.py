@@ -507,6 +507,16 @@ def wer_cer(spark, d):
     return a.join(b, "item_id").select("item_id", F.round(text.error_rate(F.col("s"), F.col("h")), 4).alias("cer"))
 
 
+@query()
+def wer_cer_whole(spark, d):
+    """Word and character error rates of whole texts, raw and normalised. No oracle: DuckDB's levenshtein counts bytes."""
+    a = table(spark, d, "benchmark").select("item_id", F.col("text").alias("s"))
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("h"))
+    raw, folded = [F.col("s"), F.col("h")], [text.normalize(F.lower(c)) for c in ("s", "h")]
+    rates = {"wer": text.word_error_rate(*raw), "cer": text.error_rate(*raw), "wer_normalised": text.word_error_rate(*folded), "cer_normalised": text.error_rate(*folded)}
+    return a.join(b, "item_id").select("item_id", *[F.round(x, 4).alias(k) for k, x in rates.items()])
+
+
 @query("select c_custkey, case when c_acctbal < 0 then 'due' else 'credit' end as status, round(abs(c_acctbal), 2) as amount from customer")
 def balance_status(spark, d):
     status, amount = insights.balance_status(F.col("c_acctbal"))

@@ -111,3 +111,28 @@ def test_streaming_sessions_match_batch(spark, tmp_path):
     q = live.session_windows(stream).writeStream.outputMode("append").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.n for r in spark.sql("select n from live").collect()} <= {2}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_whole_texts(spark):
+    from tessellar.plans import catalogue
+
+    assert one(spark, text.word_error_rate(F.col("a"), F.col("b")), a="a b  c\nd", b="a x c") == 0.5
+    assert one(spark, text.word_error_rate(F.col("a"), F.col("b")), a=" ", b="a") == 0 and one(spark, text.word_error_rate(F.col("a"), F.col("b")), a="é ü", b="") == 1
+    sf = "/root/testdata/sf0.001"
+    whole = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r.item_id: r for r in catalogue.QUERIES["wer_cer_whole"](spark, sf).collect()}
+    assert set(got) == {i for i in whole if i + 1 in whole}
+    for i, r in got.items():
+        a, b = whole[i], whole[i + 1]
+        assert r.wer == pytest.approx(distance(a.split(), b.split()) / len(a.split()), abs=6e-5) and r.cer == pytest.approx(distance(a, b) / len(a), abs=6e-5)
+    # an error after character 80 counts
+    assert one(spark, text.word_error_rate(F.col("a"), F.col("b")), a="word " * 30 + "end", b="word " * 30 + "bend") == pytest.approx(1 / 31)

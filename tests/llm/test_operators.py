@@ -283,6 +283,25 @@ def test_pitman_yor_base_and_gain(spark, docs, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_pitman_yor_weighs_word_order(spark):
+    rng = random.Random(16)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    follows = {w: rng.sample(pool, 2) for w in pool}
+    texts = []
+    for _ in range(150):
+        t = [rng.choice(pool)]
+        for _ in range(79):
+            t.append(rng.choice(follows[t[-1]]))
+        texts.append(t)
+    ids = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(i, " ".join(t)) for i, t in zip(ids, texts[:10], strict=False)] + [(i, " ".join(rng.sample(t, 80))) for i, t in zip(ids[10:], texts[:10], strict=False)]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for a, b in zip(ids[:10], ids[10:], strict=True):
+        assert abs(got[a].base_score - got[b].base_score) < 1e-6 and got[a].score > got[b].score + 20
+
+
 def test_byte_restaurants_are_a_distribution():
     words_ = [b"tion", b"ing", b"the", b"ation"] * 5
     byte, restaurant, _ = pitman_yor.spelling(words_)

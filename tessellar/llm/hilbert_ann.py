@@ -7,7 +7,8 @@ those within `reach` of all entries on either side, range by range, in double pr
 merged over all ranges and curves.
 
 With data of no structure (as good as isotropic in many dimensions) no curve keeps neighbours together, and recall is the share of
-the order that the windows cover: reach is a fraction of all entries, so recall is alike at every size, and measured in the README.
+the order that the windows cover: reach is the least fraction of all entries on either side, rounded up to whole ranges, so that few
+ranges cover more. Recall is measured in the README.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from the most frequent length (the
 smaller of equals) take no part. Repeated ids are entries of their own. Fewer than k candidates: all of them. Ties go to
@@ -16,6 +17,7 @@ the smaller id. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +72,11 @@ def projections(dims: int, p: Curves) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.linalg.qr(rng.normal(size=(dims, min(p.dims, dims))))[0], rng.random(min(p.dims, dims))) for _ in range(p.curves)]
 
 
+def reach_of(blocks: int, p: Curves) -> int:
+    """Blocks on either side that a query meets: never less than the fraction `reach` of all."""
+    return max(1, math.ceil(p.reach * blocks))
+
+
 def _usable(vectors: DataFrame, vector: str, id_: str) -> DataFrame:
     """(id, v): double vectors that take part."""
     v = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & F.col("id").isNotNull())
@@ -115,7 +122,7 @@ def search(vectors: DataFrame, queries: Column, vector: str = "embedding", id_:
     spread = F.pmod(F.xxhash64("entry"), F.lit(1 << 30))
     keyed = materialize(keyed.withColumn("keys", F.transform("keys", lambda k: k * F.lit(1 << 30) + spread)), "ann-keys")
     blocks = max(1, min(n, max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))))
-    reach = max(1, round(p.reach * blocks))
+    reach = reach_of(blocks, p)
     shares = [i / blocks for i in range(1, blocks)]
     cuts = [[int(x) for x in c] for c in keyed.agg(*[F.percentile_approx(F.col("keys")[i], shares, 100_000).alias(f"c{i}") for i in range(p.curves)]).first()] if shares else [[] for _ in range(p.curves)]
     limits = spark.sparkContext.broadcast([np.unique(np.array(c, np.int64)) for c in cuts])  # one number per block and curve

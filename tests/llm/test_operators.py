@@ -201,6 +201,11 @@ def test_neighbours(spark):
     assert hilbert_ann.search(frame.filter("vec_id > 800 and vec_id < 903"), F.lit(True)).count() == 0
 
 
+def test_hilbert_reach_is_never_below_its_fraction():
+    p = hilbert_ann.Curves()
+    assert all(hilbert_ann.reach_of(n, p) >= p.reach * n for n in (1, 23, 24, 35, 59, 1000)) and hilbert_ann.reach_of(24, p) == 2
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([(i, j) for i in range(16) for j in range(16)])
     order = cells[np.argsort(hilbert_ann.hilbert(cells, 4))]

@@ -17,7 +17,7 @@ one class. An empty table gives no rows. Other columns are not read. A null doc_
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,8 @@ from .common import materialize
 SLOT_BITS, CHUNKS = 20, 64
 BLOCK = 1000
 LEAF, FAN = 4, 8
-MOST_WORDS = 300_000
+#: Classes that a task remembers, and rows that it holds at once.
+MOST_SEEN, SLICE = 300_000, 512
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -49,28 +50,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text whose words are hashed at once; a text may be longer.
+PIECE = 1 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int64)
+_NEAR = mix(np.arange(64 * 256, dtype=np.uint64) * _K[0])
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts, and its 64-bit hash: the mixed sum of a mixed number for each letter at its place."""
+    letter = ~_SPACE[data]
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    first = starts[0]
+    place = np.arange(first, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    code = place * 256 + _LOWER[data[first:]]
+    part = _NEAR[np.minimum(code, len(_NEAR) - 1)]
+    far = np.flatnonzero(code >= len(_NEAR))
+    part[far] = mix(code[far].astype(np.uint64) * _K[0])
+    part[~letter[first:]] = 0
+    return starts, mix(np.add.reduceat(part, starts - first))
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text with fewer words is one shingle."""
+    """Sorted distinct 64-bit hashes of each text's shingles; a text with fewer words is one shingle. Words are hashed in bulk, PIECE bytes at a time."""
 
     def __init__(self, width: int):
-        self.width, self.memory = width, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        memory = self.memory
-        if len(memory) > MOST_WORDS:
-            memory.clear()
-        for w in words:
-            if w not in memory:
-                memory[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.array([memory[w] for w in words], np.uint64)
-        n = min(self.width, len(words))
+        self.width = width
+
+    def __call__(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        part, size = [], 0
+        for text in texts:
+            part.append(text or b"")
+            size += len(part[-1]) + 1
+            if size >= PIECE:
+                yield from self._cut(part)
+                part, size = [], 0
+        yield from self._cut(part)
+
+    def _hashes(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        data, lo, out = np.frombuffer(joined, np.uint8), 0, []
+        while lo < len(data):  # cut at white space, so that no word is torn
+            hi = min(lo + 4 * PIECE, len(data))
+            while hi < len(data) and not _SPACE[data[hi]]:
+                hi += 1
+            starts, h = _words(data[lo:hi])
+            out.append((starts + lo, h))
+            lo = hi
+        return np.concatenate([x for x, _ in out]), np.concatenate([h for _, h in out])
+
+    def _cut(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        starts, h = self._hashes(b" ".join(texts) + b" ")
+        edges = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]])).tolist()
+        whole = self._rolled(h, self.width) if len(h) >= self.width else h[:0]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            n = min(self.width, hi - lo)
+            if not n:
+                yield np.zeros(0, np.uint64)
+                continue
+            s = np.sort(whole[lo : hi - n + 1] if n == self.width else self._rolled(h[lo:hi], n))
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
+
+    @staticmethod
+    def _rolled(h: np.ndarray, n: int) -> np.ndarray:
         out = np.full(len(h) - n + 1, np.uint64(n) * _K[2], np.uint64)
         for i in range(n):
             out = mix(out * _K[0] + h[i : len(h) - n + 1 + i] * _K[1])
-        return np.unique(out)
+        return out
+
+
+def name_of(tokens: np.ndarray) -> bytes:
+    """A class's name: 128 bits of its set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -82,29 +146,31 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    """Every row with a key that is never null; rows that share it have the same id and text (or are told apart by their class)."""
+    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
 
 
 def _classes(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n, class, bits) of each row, and rows (chunk, bits) with each task's part of the sketch."""
+    """(doc_id, key, n, class, bits) of each row, and rows (chunk, bits) with each task's part of the sketch."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts, id_type = Shingler(join.width), np.zeros(1 << SLOT_BITS, np.uint32), None
-        for batch in batches:
+        for batch in slices(batches):
             id_type, n, name, bits = batch.column(0).type, [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
-                np.add.at(counts, _slots(s), 1)
+            for s in shingle(batch.column(1).to_pylist()):
+                np.add.at(counts, _slots(s), np.uint32(1))
                 n.append(len(s))
-                name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                name.append(name_of(s))
                 bits.append(bitmap(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.nulls(len(n), pa.int32()), pa.array(bits, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.nulls(len(n), pa.int32()), pa.array(bits, pa.binary())], names=schema.names)
         if id_type is not None:
             parts = [x.tobytes() for x in np.split(counts, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
+            long = pa.nulls(CHUNKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), long, long, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
 
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("chunk", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+    fields = [("key", T.LongType()), ("n", T.LongType()), ("class", T.BinaryType()), ("chunk", T.IntegerType()), ("bits", T.BinaryType())]
+    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(k, t) for k, t in fields]])
     return _texts(docs).mapInArrow(run, schema)
 
 
@@ -126,37 +192,44 @@ def _postings(docs: DataFrame, sketch: np.ndarray, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts, seen = Shingler(join.width), shared.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             token, name, size = [np.zeros(0, np.uint64)], [], []
-            if len(seen) > MOST_WORDS:
+            if len(seen) > MOST_SEEN:
                 seen.clear()
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
-                own = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            for s in shingle(batch.column(1).to_pylist()):
+                own = name_of(s)
                 if len(s) and own not in seen:
                     seen.add(own)
-                    p = prefix_length(len(s), join.percent)
-                    token.append(s[np.lexsort((s, counts[_slots(s)]))[:p]])
-                    name += [own] * p
-                    size += [len(s)] * p
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), pa.array(name, pa.binary()), pa.array(size, pa.int32())], names=["token", "class", "n"])
+                    token.append(rarest(s, counts, prefix_length(len(s), join.percent)))
+                    name.append(own)
+                    size.append(len(s))
+            per = np.array([len(x) for x in token[1:]], np.int64)
+            names = pa.array(name, pa.binary()).take(pa.array(np.repeat(np.arange(len(per)), per)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), names, pa.array(np.repeat(np.array(size, np.int32), per))], names=["token", "class", "n"])
 
     # one exchange by the token serves the removal of copies and all windows over groups
     return _texts(docs).mapInArrow(run, "token long, class binary, n int").repartition("token").dropDuplicates(["token", "class"])
 
 
+def rarest(tokens: np.ndarray, counts: np.ndarray, p: int) -> np.ndarray:
+    """The first p of sorted tokens in the order of (count, token)."""
+    n = counts[_slots(tokens)]
+    last = np.partition(n, p - 1)[p - 1]
+    less = tokens[n < last]
+    return np.concatenate([less, tokens[n == last][: p - len(less)]])
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(class, n, tokens) of one document per wanted class (doc_id, class)."""
+    """(class, n, tokens) of the rows with the wanted keys, once for each class."""
     few = wanted.count() <= join.broadcast_rows
-    chosen = _texts(docs.join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi"))
+    chosen = _texts(docs).join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(join.width)
-        for batch in batches:
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        for batch in slices(batches):
+            sets = list(shingle(batch.column(0).to_pylist()))
             tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), tokens], names=["class", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), tokens], names=["class", "n", "tokens"])
 
     return chosen.mapInArrow(run, "class binary, n long, tokens array<long>").dropDuplicates(["class"])
 
@@ -166,10 +239,9 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     bits = 256
     while bits < 2 * len(tokens) and bits < 1 << 20:
         bits *= 2
-    out = np.zeros(bits // 8, np.uint8)
-    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
-    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return out.view(np.uint64)
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 def narrow(bits: np.ndarray, words: int) -> np.ndarray:
@@ -275,10 +347,16 @@ def _possible(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
+    return grouped(docs, join).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """(doc_id, key, n_shingles, component, component_id) of each row: `key` is xxhash64(doc_id, text), `component` names the group even where no row has an id."""
     first = materialize(_classes(docs, join), "jaccard-classes")
-    rows = first.filter("chunk is null").select("doc_id", "n", "class")
+    rows = first.filter("chunk is null").select("doc_id", "key", "n", "class")
     # the bitmaps of a class's copies are equal
-    classes = first.filter("chunk is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = first.filter("chunk is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes, "jaccard-members")
     sketch = _sketch(first.filter("chunk is not null").select("chunk", "bits"))
     # a group falls apart where sizes in order leave a gap that no link can span
     by_size = Window.partitionBy("token").orderBy("n", "class")
@@ -292,7 +370,7 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sized = (100 * F.col("n") >= join.percent * F.col("pn")) & (100 * F.col("pn") >= join.percent * F.col("n"))
     pairs = shared.filter(sized & (F.col("class") != F.col("pivot"))).select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
     pairs = materialize(_possible(pairs, classes, join), "jaccard-pairs")
-    ids = classes.select("class", "doc_id")
+    ids = classes.select("class", "key")
     sets_of = lambda p: materialize(_sets(docs, ids.join(p.select(F.col("a").alias("class")).union(p.select("b")).distinct(), "class", "left_semi"), join), "jaccard-sets")
     links = materialize(_verified(pairs, sets_of(pairs), join), "jaccard-links")
     label = components(links)
@@ -361,7 +439,9 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
         full = heavy.join(classes.select("class", "n", "bits"), "class").join(sets.select("class", "tokens"), "class")
         found = full.groupBy(*keys).applyInArrow(exact, "a binary, b binary")
         label = components(links.union(_verified(few, sets, join)).union(found))
-    named = rows.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a group's copies are one row here; what is left to the join with all rows is one row a class
+    named = classes.select("class", "doc_id").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(smallest, "component")
+    out = rows.join(named, "class", "left")
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -27,17 +27,22 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays, once."""
-    linked = materialize(jaccard_join.link(docs, NEAR), "near")
-    gone = linked.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    twice = linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeats = twice.count()
-    if not repeats:
-        return kept.select(*docs.columns)
-    twice = F.broadcast(twice) if repeats <= BROADCAST_IDS else twice
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One row of each group stays: that with the smallest id (null last), and of equal ids the smallest hash of id and text; rows without words stay.
+
+    Rows are told apart by the hash of id and text, not by their id: rows that share an id and differ in text are no copies.
+    """
+    linked = materialize(jaccard_join.grouped(docs, NEAR).filter("n_shingles > 0"), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
+    best = linked.groupBy("component").agg(F.min(order).alias("best"))
+    gone = linked.join(best, "component").filter(F.col("key") != F.col("best.key")).select(F.col("key").alias("_gone")).distinct()
+    twice = linked.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_gone"))
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    key = F.xxhash64("doc_id", "text")
+    kept = docs.join(few(gone), key == F.col("_gone"), "left_anti")
+    # rows that repeat both id and text
+    repeated = few(twice)
+    once = kept.join(repeated, key == F.col("_gone"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, key == F.col("_gone"), "left_anti").unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,16 +17,28 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share; a temporary one only where none is set and the session is local, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessellar-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most `rows` rows at once to a Python worker, for the rest of the session: texts are long, and both sides hold a batch whole."""
+    now = int(spark.conf.get(BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH, rows)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends in replicated files, not in executor memory."""
     spark = df.sparkSession

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 SLOT_BITS, CHUNKS = 20, 64
 BLOCK = 1000
 LEAF, FAN = 4, 8
 #: Classes that a task remembers, and rows that it holds at once.
-MOST_SEEN, SLICE = 300_000, 512
+MOST_SEEN, SLICE = 100_000, 512
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text whose words are hashed at once; a text may be longer.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int64)
 _NEAR = mix(np.arange(64 * 256, dtype=np.uint64) * _K[0])
@@ -94,7 +94,7 @@ class Shingler:
     def _hashes(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
         data, lo, out = np.frombuffer(joined, np.uint8), 0, []
         while lo < len(data):  # cut at white space, so that no word is torn
-            hi = min(lo + 4 * PIECE, len(data))
+            hi = min(lo + PIECE, len(data))
             while hi < len(data) and not _SPACE[data[hi]]:
                 hi += 1
             starts, h = _words(data[lo:hi])
@@ -352,6 +352,7 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def grouped(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, key, n_shingles, component, component_id) of each row: `key` is xxhash64(doc_id, text), `component` names the group even where no row has an id."""
+    small_batches(docs.sparkSession)
     first = materialize(_classes(docs, join), "jaccard-classes")
     rows = first.filter("chunk is null").select("doc_id", "key", "n", "class")
     # the bitmaps of a class's copies are equal

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .tokens import encoder
 
 SHARD_DOCS = 1024
@@ -131,6 +132,7 @@ def pack_shard(documents: list[np.ndarray], p: Packer) -> list[tuple[int, int, i
 
 def pack(docs: DataFrame, vocabulary: tuple[str, str, str], packer: Packer = Packer()) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids are packed unsigned 32-bit little-endian."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     shards = max(1, -(-docs.count() // SHARD_DOCS))
 

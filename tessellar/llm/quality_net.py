@@ -20,6 +20,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .labelled import of_class
 
 WIDTH, STRIDE, HALF, EMBED, FILTERS = 8, 4, 512, 8, 16
@@ -142,13 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "quality", r
 
 def classify(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
     """docs with `score`, the probability of label 1."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 found = scores(net, [(t or "").encode() for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 

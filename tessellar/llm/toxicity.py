@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .labelled import of_class, some, texts
 
 #: Score of a text on the border.
@@ -108,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, label: str = "toxic", pos
 
 def classify(docs: DataFrame, model: tuple[dict[bytes, float], float] | None, text: str = "text") -> DataFrame:
     """docs with `score`, the probability that a text is toxic."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     at = docs.columns.index(text)
     weights, offset = model or ({}, 0.0)

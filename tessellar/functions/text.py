@@ -2,26 +2,60 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
 
 
-def normalize(text: Column, fold_letters: bool = True) -> Column:
-    """Orthographic folding: diacritics and tatweel go, digits become ASCII, letter variants fold, white space collapses."""
-    t = F.regexp_replace(text, fixed.DIACRITICS, "")
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility composition (NFKC), for which Spark has no function: an Arrow-batched one."""
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return run(text)
+
+
+def normalize(text: Column, fold_letters: bool = True, nfkc: bool = False) -> Column:
+    """Orthographic folding: diacritics and tatweel go, digits become ASCII, letter variants fold, white space collapses; NFKC first if asked for."""
+    t = F.regexp_replace(compatible(text) if nfkc else text, fixed.DIACRITICS, "")
     t = F.translate(F.replace(t, F.lit(fixed.TATWEEL), F.lit("")), fixed.DIGITS_FROM, fixed.DIGITS_TO)
     if fold_letters:
         t = F.translate(t, fixed.LETTERS_FROM, fixed.LETTERS_TO)
     return F.trim(F.regexp_replace(F.regexp_replace(t, fixed.ZERO_WIDTH, ""), r"\s+", " "))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case folded tokens, not stemmed."""
-    return F.regexp_extract_all(normalize(F.lower(text)), F.lit(r"([\p{L}\p{N}_؀-ۿ]+)"), F.lit(1))
+def tokens(text: Column, stem: bool = False) -> Column:
+    """Lower-case folded tokens; an index and its queries stem both or neither."""
+    plain = F.regexp_extract_all(normalize(F.lower(text)), F.lit(r"[\p{L}\p{N}_؀-ۿ]+"), F.lit(0))
+    return F.when(text.rlike(fixed.ARABIC), F.transform(plain, light_stem)).otherwise(plain) if stem else plain
+
+
+def words(text: Column) -> Column:
+    """What white space separates in the folded lower-case text."""
+    return F.array_remove(F.split(normalize(F.lower(text)), " "), "")
+
+
+def histogram(items: Column) -> Column:
+    """(item, n) of an array's elements, in one pass over the sorted array."""
+
+    def starts(a: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return bound(first, lambda f: F.transform(f, lambda p, k: F.struct(F.get(a, p).alias("item"), (F.coalesce(F.get(f, k + 1), F.size(a)) - p).cast("long").alias("n"))))
+
+    return bound(F.array_sort(items), lambda a: F.when(F.size(a) > 0, starts(a)).otherwise(F.expr("cast(array() as array<struct<item:string,n:bigint>>)")))
 
 
 def light_stem(token: Column) -> Column:
@@ -35,8 +69,8 @@ def light_stem(token: Column) -> Column:
             out = F.when(fits, cut).otherwise(out)
         return out
 
-    stem = strip(strip(strip(token, fixed.STEM_PREFIXES, True), fixed.STEM_SUFFIXES, False), fixed.STEM_VERB_PREFIXES, True)
-    return F.when(token.rlike(fixed.ARABIC), stem).otherwise(token)
+    rest = lambda t: bound(strip(t, fixed.STEM_SUFFIXES, False), lambda u: strip(u, fixed.STEM_VERB_PREFIXES, True))
+    return F.when(token.rlike(fixed.ARABIC), bound(strip(token, fixed.STEM_PREFIXES, True), rest)).otherwise(token)
 
 
 def script_counts(text: Column) -> tuple[Column, Column]:
@@ -57,6 +91,28 @@ def language(text: Column) -> Column:
     )
 
 
+def answer_language(language: Column) -> Column:
+    """The language to answer in: English for English, Arabic for all else."""
+    return F.when(language == "en", "en").otherwise("ar")
+
+
+def truncate_at(text: Column, stops: list[str]) -> Column:
+    """What stands before the first of the stop tokens, trimmed."""
+    return F.trim(reduce(lambda t, stop: F.substring_index(t, stop, 1), stops, text))
+
+
+def table_markdown(rows: Column) -> Column:
+    """An array of rows of cells as a Markdown table; short rows are filled with empty cells, the first row is the header."""
+    width = F.array_max(F.transform(rows, F.size))
+
+    def drawn(w: Column) -> Column:
+        line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        body = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
+        return F.array_join(F.concat(F.slice(body, 1, 1), F.array(line(F.array_repeat(F.lit("---"), w))), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n")
+
+    return F.when(F.size(rows) > 0, bound(width, drawn)).otherwise("")
+
+
 def estimate_tokens(text: Column) -> Column:
     arabic, latin = script_counts(text)
     share = F.when(arabic + latin > 0, arabic / (arabic + latin)).otherwise(0.0)
@@ -80,9 +136,12 @@ def snippet(text: Column, width: int = 220) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Sampled 12-token shingles; null for exactly 12 tokens, which are never a duplicate."""
-    t = F.array_remove(F.split(normalize(text), " "), "")
-    shingles = F.transform(F.sequence(F.lit(0), F.size(t) - 13, F.lit(48)), lambda i: F.array_join(F.slice(t, i + 1, F.lit(12)), " "))
-    return F.when(F.size(t) < 12, F.array(F.array_join(t, " "))).when(F.size(t) > 12, F.array_sort(F.array_distinct(shingles)))
+
+    def printed(t: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(0), F.size(t) - 13, F.lit(48)), lambda i: F.array_join(F.slice(t, i + 1, F.lit(12)), " "))
+        return F.when(F.size(t) < 12, F.array(F.array_join(t, " "))).when(F.size(t) > 12, F.array_sort(F.array_distinct(shingles)))
+
+    return bound(F.array_remove(F.split(normalize(text), " "), ""), printed)  # the text is folded and split once, not once a shingle
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
@@ -93,14 +152,19 @@ def count_contained(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(n).cast("int") for n in needles])
 
 
+def count_folded(folded: Column, needles: list[str]) -> Column:
+    """How many needles a folded text holds, each folded likewise by Spark (constants of the plan)."""
+    return reduce(lambda a, b: a + b, [folded.contains(normalize(F.lit(n))).cast("int") for n in needles])
+
+
 def speakable(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\[\d{1,2}\]", ""), r"https?://\S+", ""), r"[*_`#|]+", " ")
     return F.substring(F.trim(F.regexp_replace(F.split(t, r"\n\s*(?:المصادر|Sources)\s*:")[0], r"\s+", " ")), 1, 1200)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 if both are empty."""
-    return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    """Of two arrays as sets; 0 if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
 def nearest_rank(sorted_values: Column, percent: float) -> Column:

@@ -16,7 +16,7 @@ def recent_questions(turns: DataFrame, n: int = 4) -> DataFrame:
 
 def with_repeats(turns: DataFrame) -> DataFrame:
     """recent_questions with `repeated`: Jaccard of token sets of at least 0.6 with one of them."""
-    here = F.array_distinct(text.tokens(F.col("text")))
+    here = F.array_distinct(text.words(F.col("text")))
     q = recent_questions(turns).withColumn("tok", here)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
     q = q.withColumn("ptok", F.collect_list("tok").over(w))
@@ -37,13 +37,14 @@ def with_streak(rows: DataFrame, flag: str) -> DataFrame:
 
 def frustration(t: Column, repeated: Column, repeat_streak: Column, low: Column, low_streak: Column, answered: Column) -> Column:
     """Unrounded score of a turn; an explicit wish for a human is 1."""
-    negative = text.count_contained(F.lower(t), fixed.NEGATIVE_EN) + text.count_contained(text.normalize(t), fixed.NEGATIVE_AR)
+    arabic = text.bound(text.normalize(F.lower(t)), lambda n: text.count_folded(n, fixed.NEGATIVE_AR))
+    negative = text.count_contained(F.lower(t), fixed.NEGATIVE_EN) + arabic
     part = lambda cond, w: F.when(cond, w).otherwise(0.0)
     total = (
         F.least(0.2 * negative, F.lit(0.4)) + part(t.rlike("(?iU)" + fixed.PROFANITY), 0.15) + part(t.rlike(fixed.SHOUTING), 0.10)
         + part(repeated, 0.25) + part(repeat_streak >= 2, 0.20) + part(low, 0.15) + part(low_streak >= 2, 0.25) + part(~answered, 0.10)
     )
-    wish = t.rlike("(?iU)" + fixed.HUMAN_WANTED) & t.rlike(r"(?iU)\b(want|need|speak|talk|connect|transfer|give)\b|(عايز|عاوز|اريد|أريد|كلم|حول)")
+    wish = t.rlike("(?iU)" + fixed.HUMAN_NAMED) & t.rlike("(?iU)" + fixed.WISHED)
     return F.when(wish, 1.0).otherwise(F.least(total, F.lit(1.0)))
 
 

@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def percentile(value: Column, percent: float) -> Column:
-    """Aggregate: nearest rank with half-even rounding. The group's values are gathered, so groups must be bounded (see sample_window)."""
-    return text.nearest_rank(F.sort_array(F.collect_list(value)), percent)
+#: Half the width, as a share of the ranks, of the bracket around a percentile; ten times the error of the approximate one.
+_BRACKET = 0.001
 
 
 def percentile_table(rows: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
-    """by, n, and p<percent> by nearest rank from ranks alone: no group is gathered in one row, whatever its size."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.rint(F.lit(p / 100) * F.col("n") + 0.5).cast("long")))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("r") == at(p), F.col("v"))).alias(f"p{p}") for p in percents])
+    """by, n, and p<percent> by nearest rank, clamp(round_half_even(percent / 100 * n + 0.5), 1, n), exactly; nulls are left out.
+
+    No group is sorted in one task, whatever its size: approximate percentiles, which merge from partial ones, bracket each rank;
+    a second pass counts what lies below a bracket and each value within it, and ranks run over those values alone.
+    """
+    v = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    shares = [x for p in percents for x in (max(p / 100 - _BRACKET, 0.0), min(p / 100 + _BRACKET, 1.0))]
+    cuts = v.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", shares, 10_000).alias("_c"))
+    at = lambda p: F.greatest(F.lit(1), F.least(F.col("_n"), F.rint(F.lit(p / 100) * F.col("_n") + 0.5).cast("long")))
+    asked = [F.struct(F.lit(p).alias("p"), at(p).alias("at"), F.col("_c")[2 * i].alias("lo"), F.col("_c")[2 * i + 1].alias("hi")) for i, p in enumerate(percents)]
+    asked = cuts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", F.array(*asked).alias("_asked"))
+    met = v.join(asked, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    each = met.select(*by, "_n", "_v", F.explode("_asked").alias("_a")).filter(F.col("_v") <= F.col("_a.hi"))
+    inside = F.col("_v") >= F.col("_a.lo")
+    counted = each.groupBy(*by, "_n", F.col("_a.p").alias("_p"), F.col("_a.at").alias("_at"), F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_p").orderBy(F.col("_v").asc_nulls_first()))
+    found = counted.withColumn("_upto", upto).filter(F.col("_v").isNotNull() & (F.col("_upto") >= F.col("_at")))
+    return found.groupBy(*by).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
 
 
 def sample_window(rows: DataFrame, by: str, order: list[str], most: int = 2000) -> DataFrame:
@@ -32,9 +44,10 @@ def most_common(rows: DataFrame, column: str, order: str, k: int = 5) -> DataFra
     return rows.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k).drop("first")
 
 
-def recall_mrr(ranked: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, recall, mrr from rows (query, by..., hit_rank or null), overall and by group: grouping sets."""
-    return ranked.groupingSets([[], by], *by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("double")), 3).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("hit_rank"), F.lit(0.0))), 3).alias("mrr"))
+def recall_mrr(ranked: DataFrame, by: list[str], latency: str | None = None) -> DataFrame:
+    """by, n, recall, mrr (and median_latency_ms, interpolated) from rows (query, by..., hit_rank or null), overall and by group: grouping sets."""
+    more = [F.round(F.median(latency), 1).alias("median_latency_ms")] if latency else []
+    return ranked.groupingSets([[], by], *by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("double")), 3).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("hit_rank"), F.lit(0.0))), 3).alias("mrr"), *more)
 
 
 def refusal_report(rows: DataFrame, threshold: float) -> DataFrame:
@@ -50,14 +63,6 @@ def refusal_report(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumns({"separable": apart, "suggested": F.when(apart, (F.col("highest_out") + F.col("lowest_in")) / 2)})
 
 
-def allowed(requests: DataFrame, grants: DataFrame, scopes: dict[str, str]) -> DataFrame:
-    """requests (session_id, customer_id, intent) with `allowed` and `reason`: actions need a grant of the intent's scope."""
-    scope = F.create_map(*[F.lit(x) for kv in scopes.items() for x in kv])
-    held = grants.select("session_id", "customer_id", "scope").distinct().withColumn("granted", F.lit(True))
-    out = requests.withColumn("scope", scope[F.col("intent")]).join(held, ["session_id", "customer_id", "scope"], "left")
-    ok = F.col("scope").isNull() | F.coalesce("granted", F.lit(False))
-    return out.withColumns({"allowed": ok, "reason": F.when(F.col("scope").isNull(), "no permission needed").when(ok, "granted").otherwise("not permitted")}).drop("granted")
-
-
 def balance_status(balance: Column) -> tuple[Column, Column]:
-    return F.when(balance < 0, "due").otherwise("credit"), F.round(F.abs(balance), 2)
+    """Status and amount due: a negative balance is owed."""
+    return F.when(balance < 0, "due").otherwise("settled"), F.when(balance < 0, F.round(F.abs(balance), 2)).otherwise(0.0)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, safety, text
-from ..operators import conversation, curate, insights, search
+from ..operators import access, conversation, curate, handoff, insights, metrics, search, store
+from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TERMS = ["the", "that", "onthe"]
 #: Rows that the tables lack, added by an expression both engines evaluate alike.
 SALTED = (
     "case when doc_id % 11 = 3 then concat(text, ' عايز اشحن الباقة بتاعتي من فضلك') when doc_id % 11 = 5 then 'كيف يمكن شحن الرصيد' "
@@ -25,7 +25,10 @@ TURN = (
     "when conv_id % 7 = 6 and turn = 2 then 'I want to talk to a human' else text end"
 )
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_\x{0600}-\x{06FF}]+')"
-WORDS = ", ".join(f"'{w}'" for w in TERMS)
+#: Words between white space, folded to lower case.
+SPACED = r"list_filter(string_split(trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')), ' '), lambda x: x <> '')"
+HOSTS = ["www.example.com", "www.example.org"]
+SITE = "to thanedble the, anea. Eriner thanea."
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,39 +107,60 @@ def url_normalize(spark, d):
     return table(spark, d, "pages").select("page_id", curate.normalize_url(F.col("url")).alias("url"))
 
 
-@query(r"select page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) = 'www.example.com' and not regexp_matches(url, '\?[^#]*(p_p_|t=)') and not contains(lower(url), '/login') as crawlable from pages")
+def _crawlable_sql(u: str) -> str:
+    path, query = f"lower(regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1))", rf"regexp_extract({u}, '\?([^#]*)', 1)"
+    bad = [rf"regexp_matches({u}, '(?i)\.pdf($|\?)')"]
+    bad += [f"starts_with({path}, '{x}')" for x in fixed.SKIP_PATH_PREFIXES] + [f"contains({path}, '{x}')" for x in fixed.SKIP_PATH_PARTS]
+    bad += [f"ends_with({path}, '{x}')" for x in fixed.SKIP_EXTENSIONS] + [f"contains({query}, '{x}')" for x in fixed.SKIP_QUERY_KEYS]
+    hosts = ", ".join(f"'{h.removeprefix('www.')}'" for h in HOSTS)
+    return rf"regexp_matches({u}, '^https?://') and regexp_replace(lower(regexp_extract({u}, '^https?://([^/?#]*)', 1)), '^www\.', '') in ({hosts}) and not ({' or '.join(bad)})"
+
+
+@query(f"select page_id, {_crawlable_sql('u')} as crawlable from (select page_id, case when page_id % 3 = 0 then 'https://www.example.com/a/' || page_id when page_id % 3 = 1 then 'http://example.org/login' else url end as u from pages)")
 def url_crawlable(spark, d):
-    return table(spark, d, "pages").select("page_id", curate.is_crawlable(F.col("url"), ["www.example.com"]).alias("crawlable"))
+    u = F.expr("case when page_id % 3 = 0 then 'https://www.example.com/a/' || page_id when page_id % 3 = 1 then 'http://example.org/login' else url end")
+    return table(spark, d, "pages").select("page_id", curate.is_crawlable(u, HOSTS).alias("crawlable"))
+
+
+#: Half of the pages move to the hosts that are crawled, so that links stay within them.
+_MOVED = "case when page_id % 2 = 0 then 'https://www.example.com/' || (page_id % 7) || '/' || page_id else url end"
+_LINKS = rf"""h as (select page_id, url as base, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) as href from (select page_id, html, {_MOVED} as url from pages)),
+ r as (select page_id, base, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when href like '/%' then regexp_extract(base, '^([a-zA-Z]+://[^/?#]*)', 1) || href
+ else (case when f like '%/' then f else f || '/' end) || href end as target from (select *, regexp_extract(base, '^([a-zA-Z]+://[^/?#]*(?:/[^?#]*/|/)?)', 1) as f from h where href <> '' and not regexp_matches(href, '^(mailto:|tel:|javascript:|#)'))),
+ n as (select page_id, {_norm('base')} as base, {_norm('target')} as target from r), l as (select * from n where {_crawlable_sql('target')})"""
 
 
-_LINKS = rf"""h as (select page_id, url as base, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1)) as href from pages),
- r as (select page_id, base, case when regexp_matches(href, '^[a-zA-Z]+://') then href when href like '/%' then regexp_extract(base, '^([a-zA-Z]+://[^/?#]*)', 1) || href
- else (case when f like '%/' then f else f || '/' end) || href end as target from (select *, regexp_extract(base, '^([a-zA-Z]+://[^/?#]*(?:/[^?#]*/|/)?)', 1) as f from h where href <> '' and not regexp_matches(lower(href), '^(mailto:|tel:|javascript:|#)'))),
- l as (select page_id, {_norm('base')} as base, {_norm('target')} as target from r)"""
+def _pages(spark, d):
+    return table(spark, d, "pages").withColumn("url", F.expr(_MOVED))
 
 
 @query(f"with {_LINKS} select page_id, base, target, count(*) as n from l group by all")
 def link_extract(spark, d):
-    return curate.links(table(spark, d, "pages")).groupBy("page_id", "base", "target").agg(F.count("*").alias("n"))
+    return curate.links(_pages(spark, d), HOSTS).groupBy("page_id", "base", "target").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_LINKS}, s as (select distinct {_norm('url')} as url from pages where page_id < 5) select url, 0 as depth from s union all select distinct target, 1 from l where base in (select url from s) and target not in (select url from s)")
+@query(
+    f"""with recursive {_LINKS}, e as (select distinct base, target from l), f as (select distinct {_norm('url')} as url, 0 as depth from (select page_id, {_MOVED} as url from pages) where page_id < 5
+    union select e.target, f.depth + 1 from f join e on e.base = f.url where f.depth < 3) select url, cast(min(depth) as integer) as depth from f group by url"""
+)
 def link_frontier_bfs(spark, d):
-    pages = table(spark, d, "pages")
+    pages = _pages(spark, d)
     seeds = pages.filter("page_id < 5").select(curate.normalize_url(F.col("url")).alias("url"))
-    return curate.frontier(curate.links(pages).select("base", "target").distinct(), seeds, 1)
+    return curate.frontier(curate.links(pages, HOSTS).select("base", "target").distinct(), seeds, 3)
 
 
-@query(r"select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s*[-|][^-|]*$', '')) as title from pages")
+@query(rf"select page_id, trim(regexp_replace(t, '\s*[-|]\s*{SITE.replace('.', chr(92) + '.')}\s*$', '')) as title from (select page_id, case when page_id % 4 = 0 then 'A page - part | ' || '{SITE}' else regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) end as t from pages)")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", curate.title(F.col("html")).alias("title"))
+    html = F.expr(f"case when page_id % 4 = 0 then '<title>A page - part | {SITE}</title>' else html end")
+    return table(spark, d, "pages").select("page_id", curate.title(html, SITE).alias("title"))
 
 
 def _main_sql() -> str:
     t = "html"
     for tag in ("script", "style", "noscript", "svg", "iframe", "form", "button", "nav", "header", "footer"):
         t = rf"regexp_replace({t}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
-    t = rf"regexp_replace({t}, '(?i)<(/?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|body|head|title)\b)[^>]*>', chr(10), 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '(?is)^.*?<body\b[^>]*>|<head\b.*?</head>|<title\b.*?</title>', '', 'g'), '(?is)</body>.*$', '')"
+    t = rf"regexp_replace({t}, '(?i)<(/?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article)\b)[^>]*>', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
     for a, b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
         t = f"replace({t}, '{a}', {b})"
@@ -168,10 +192,10 @@ def drop_boilerplate(spark, d):
     return out.select("doc_id", "kept_lines", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("select doc_id, cast(length(substr(text, 1, 5000)) as integer) as n, md5(substr(text, 1, 5000)) as digest from documents where length(text) >= 200")
+@query("select doc_id, cast(length(substr(text, 1, 40000)) as integer) as n, md5(substr(text, 1, 40000)) as digest from documents where length(text) >= 200")
 def length_filter_truncate(spark, d):
-    cut = F.substring("text", 1, 5000)
-    return docs(spark, d).filter(F.length("text") >= 200).select("doc_id", F.length(cut).alias("n"), F.md5(cut.cast("binary")).alias("digest"))
+    cut = F.substring("text", 1, fixed.MOST_CHARS)
+    return docs(spark, d).filter(F.length("text") >= fixed.LEAST_CHARS).select("doc_id", F.length(cut).alias("n"), F.md5(cut.cast("binary")).alias("digest"))
 
 
 @query(
@@ -217,104 +241,212 @@ def append_anti(spark, d):
 # ---- search ---------------------------------------------------------------------------------------------------
 @query(f"with p as (select doc_id, unnest({TOK}) as term from documents) select term, count(*) as occurrences, count(distinct doc_id) as df from p group by term")
 def postings_stats(spark, d):
-    return search.postings(docs(spark, d)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("df"))
+    return search.term_counts(docs(spark, d).select("doc_id", "text"))
+
 
+@query(f"with p as (select doc_id, unnest({TOK}) as term from documents) select (select count(*) from documents) as n, (select count(*) from p) as occurrences, (select count(distinct term) from p) as terms")
+def index_build(spark, d):
+    """The inverted index, written anew."""
+    built = stored.index(spark, d, fresh=True)
+    return built.totals.select("n").withColumns({"occurrences": built.postings.agg(F.sum("tf").alias("x")).scalar(), "terms": built.terms.agg(F.count("*").alias("x")).scalar()})
 
-def _bm25_sql(idf: str) -> str:
-    return f"""t as (select doc_id, source, {TOK} as t from documents), s as (select count(*) as n, avg(len(t)) as avgdl from t),
-    p as (select doc_id, len(any_value(t.t)) as dl, term, count(*) as tf from t, unnest(t.t) as u(term) where term in ({WORDS}) group by doc_id, term), df as (select term, count(*) as df from p group by term),
-    b as (select doc_id, sum({idf} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from p join df using (term), s group by doc_id),
-    bm as (select doc_id, score, row_number() over (order by round(score, 9) desc, doc_id) as rank from b qualify rank <= 40)"""
 
+#: A question for every benchmark passage: its first eight words.
+_ASKED = "select item_id as query_id, array_to_string(string_split(text, ' ')[1:8], ' ') as text from benchmark"
+_BASE = f"""a as ({_ASKED}), qt as (select query_id, term, count(*) as times from (select query_id, unnest({TOK}) as term from a) group by query_id, term),
+    t as (select doc_id, source, {TOK} as t from documents), s as (select count(*) as n, avg(len(t)) as avgdl from t),
+    p as (select doc_id, len(any_value(t.t)) as dl, term, count(*) as tf from t, unnest(t.t) as u(term) group by doc_id, term), df as (select term, count(*) as df from p group by term)"""
 
-_LUCENE, _CLASSIC = "ln(1 + (n - df + 0.5) / (df + 0.5))", "ln((n - df + 0.5) / (df + 0.5))"
+
+def _bm25_sql(classic: bool = False) -> str:
+    raw = "ln((n - df + 0.5) / (df + 0.5))"
+    floor = f"(select avg({raw}) * 0.25 from df, s)"
+    idf = f"times * case when {raw} < 0 then {floor} else {raw} end" if classic else "ln(1 + (n - df + 0.5) / (df + 0.5))"
+    return f"""{_BASE}, b as (select query_id, doc_id, sum({idf} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join df using (term) join p using (term), s group by query_id, doc_id),
+    bm as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from b where score > 0 qualify rank <= 40)"""
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
 
 
 def _bm25(spark, d, classic=False):
-    scored = search.bm25(docs(spark, d), TERMS, classic=classic).withColumn("score", F.round("score", 9))
-    return search.top(scored, fixed.TOP_K)
+    scored = stored.index(spark, d).scores(_questions(spark, d), classic=classic).withColumn("score", F.round("score", 9))
+    return search.best(scored, fixed.TOP_K)
 
 
-@query(f"with {_bm25_sql(_LUCENE)} select doc_id, round(score, 6) as score, cast(rank as integer) as rank from bm")
+@query(f"with {_bm25_sql()} select query_id, doc_id, round(round(score, 9), 6) as score, cast(rank as integer) as rank from bm")
 def bm25_lucene_topk(spark, d):
-    return _bm25(spark, d).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"with {_bm25_sql(_CLASSIC)} select doc_id, round(score, 6) as score, cast(rank as integer) as rank from bm")
+@query(f"with {_bm25_sql(True)} select query_id, doc_id, round(round(score, 9), 6) as score, cast(rank as integer) as rank from bm")
 def bm25_classic_topk(spark, d):
-    return _bm25(spark, d, True).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, d, True).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_Q = "(select list_transform(embedding, lambda x: x::double) as q from embeddings where vec_id = 0)"
 _COS = "(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))))"
+_VECTORS = "select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings"
 
 
-def _cosine_sql(where: str) -> str:
-    return f"select vec_id, round({_COS}, 9) as score from (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), {_Q} {where}"
+def _cosine_sql(on: str = "true") -> str:
+    """The vectors whose id is an item's are the questions' vectors."""
+    scored = f"select query_id, vec_id, round({_COS}, 9) as score from ({_VECTORS}) e join (select vec_id as query_id, label as query_label, v as q from ({_VECTORS}) where vec_id in (select item_id from benchmark)) on {on}"
+    return f"select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({scored}) qualify rank <= 40"
 
 
-def _query_vector(spark, d) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]]
+def _query_vectors(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
+    return rows.join(items, "query_id", "left_semi")
 
 
-def _cosine(spark, d, scope=None):
-    rows = table(spark, d, "embeddings")
-    rows = rows if scope is None else rows.filter(scope)
-    q = F.array(*[F.lit(x) for x in _query_vector(spark, d)])
-    return search.top(rows.select("vec_id", F.round(text.cosine(F.col("embedding"), q), 9).alias("score")), fixed.TOP_K, "vec_id")
+def _cosine(spark, d):
+    return search.nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), fixed.TOP_K)
 
 
-@query(f"select vec_id, round(score, 6) as score, cast(row_number() over (order by score desc, vec_id) as integer) as rank from ({_cosine_sql('')}) qualify rank <= 40")
+@query(f"select query_id, vec_id, round(score, 6) as score, cast(rank as integer) as rank from ({_cosine_sql()})")
 def cosine_topk(spark, d):
-    return _cosine(spark, d).select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return _cosine(spark, d).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"select vec_id, round(score, 6) as score, cast(row_number() over (order by score desc, vec_id) as integer) as rank from ({_cosine_sql('where label = 3')}) qualify rank <= 40")
+@query(f"select query_id, vec_id, round(score, 6) as score, cast(rank as integer) as rank from ({_cosine_sql('label = query_label')}) where query_id % 2 = 0")
 def scoped_cosine_topk(spark, d):
-    return _cosine(spark, d, "label = 3").select("vec_id", F.round("score", 6).alias("score"), "rank")
+    """Each label is a session: a question meets its own session's vectors alone, through the scoped read."""
+    vectors = table(spark, d, "embeddings").withColumn("session_id", F.col("label").cast("string"))
+    asked = _query_vectors(spark, d).filter("query_id % 2 = 0")
+    labels = [r[0] for r in asked.select(F.col("query_label").cast("string")).distinct().collect()]  # one scoped read for each session
+    out = None
+    for label in labels:
+        one = search.nearest(search.scoped(vectors, label), asked.filter(F.col("query_label").cast("string") == label), fixed.TOP_K)
+        out = one if out is None else out.unionByName(one)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+_FUSED = f"""with {_bm25_sql()}, de as (select query_id, vec_id as doc_id, score, rank from ({_cosine_sql()}) where vec_id in (select doc_id from documents)),
+ od as (select query_id, doc_id, score, row_number() over (partition by query_id order by de.rank) as own_rank from de where doc_id % 10 = query_id % 10 qualify own_rank <= 13),
+ os as (select query_id, doc_id, score, row_number() over (partition by query_id order by bm.rank) as own_rank from bm where doc_id % 10 = query_id % 10 qualify own_rank <= 13),
+ u as (select query_id, doc_id, 0 as l, rank, 1.0::double as w from de union all select query_id, doc_id, 1, rank, 1.0 from bm union all select query_id, doc_id, 2, own_rank, 1.15 from od union all select query_id, doc_id, 3, own_rank, 1.15 from os),
+ fu as (select query_id, doc_id, sum(w / (60 + rank)) as score, min(l * 1000 + rank) as pos from u group by query_id, doc_id),
+ ra as (select * from (select fu.query_id, fu.doc_id, fu.score, d.source, de.score as dense, bm.rank - 1 as bm25_rank, row_number() over (partition by fu.query_id order by round(fu.score, 12) desc, pos) as rank from fu join documents d on d.doc_id = fu.doc_id
+  left join de on de.doc_id = fu.doc_id and de.query_id = fu.query_id left join bm on bm.doc_id = fu.doc_id and bm.query_id = fu.query_id) where rank <= 40),
+ dv as (select * from (select *, row_number() over (partition by query_id, source order by rank) as rn from ra) where rn <= 2),
+ cx as (select *, row_number() over (partition by query_id order by rank) as place from dv qualify place <= 6)"""
 
 
-_FUSED = f"""with {_bm25_sql(_LUCENE)}, de as (select vec_id as doc_id, score, row_number() over (order by score desc, vec_id) as rank from ({_cosine_sql('')}) qualify rank <= 40),
- u as (select doc_id, 0 as l, rank from de union all select doc_id, 1, rank from bm),
- fu as (select doc_id, sum(1.0 / (60 + rank)) as score, min(l * 1000 + rank) as pos from u group by doc_id),
- ra as (select fu.doc_id, fu.score, d.source, de.score as dense, row_number() over (order by round(fu.score, 9) desc, pos) as rank from fu join documents d on d.doc_id = fu.doc_id left join de on de.doc_id = fu.doc_id),
- dv as (select * from (select *, row_number() over (partition by source order by rank) as rn from ra) where rn <= 2)"""
+def _ranked(spark, d):
+    """The four lists fused for every question, with source and dense score. vec_id = doc_id pairs vectors with documents; documents whose id ends like the question's are its session's own."""
+    held = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "source")
+    dense = _cosine(spark, d).withColumnRenamed("vec_id", "chunk_id").join(held.select("chunk_id"), "chunk_id", "left_semi")
+    sparse = _bm25(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    own = lambda ranked: search.best(ranked.filter("chunk_id % 10 = query_id % 10").withColumn("s", -F.col("rank")), fixed.SESSION_K, "chunk_id", score="s")
+    fused = search.retrieve(dense, sparse, own(dense), own(sparse))
+    return held.join(search.few(fused), "chunk_id").withColumnsRenamed({"chunk_id": "doc_id", "dense_score": "dense"})
 
 
-def _ranked(spark, d):
-    """Dense and lexical lists fused, with source and dense score. vec_id = doc_id pairs vectors with documents."""
-    dense = _cosine(spark, d).select(F.col("vec_id").alias("doc_id"), "score", "rank")
-    fused = search.fuse([(dense, 1.0), (_bm25(spark, d), 1.0)]).withColumn("score", F.round("score", 9))
-    rows = docs(spark, d).select("doc_id", "source").join(F.broadcast(fused), "doc_id").join(F.broadcast(dense.select("doc_id", F.col("score").alias("dense"))), "doc_id", "left")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_list", "first_rank")).cast("int"))  # at most 80 rows
+def _context(spark, d):
+    """What a question's answer may use: at most two rows a source, and the first six of them."""
+    kept = search.diversify(_ranked(spark, d), "source", by="query_id")
+    return search.rerank(kept.withColumns({"question": F.lit(""), "text": F.lit("")}), fixed.CONTEXT, None)
 
 
-@query(f"{_FUSED} select doc_id, round(score, 6) as score, cast(rank as integer) as rank from ra")
+@query(f"{_FUSED} select query_id, doc_id, round(score, 6) as score, cast(bm25_rank as integer) as bm25_rank, cast(rank as integer) as rank from ra")
 def rrf_fusion(spark, d):
-    return _ranked(spark, d).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return _ranked(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("bm25_rank").cast("int").alias("bm25_rank"), "rank")
 
 
-@query(f"{_FUSED} select doc_id, source, cast(rank as integer) as rank from dv")
+@query(f"{_FUSED} select query_id, doc_id, source, cast(rank as integer) as rank from dv")
 def diversify_topk(spark, d):
-    return search.diversify(_ranked(spark, d), "source").select("doc_id", "source", "rank")
+    return search.diversify(_ranked(spark, d), "source", by="query_id").select("query_id", "doc_id", "source", "rank")
 
 
-@query(f"{_FUSED} select doc_id, source, round(score, 6) as score, cast(rank as integer) as rank from dv order by rank limit 6")
+@query(f"{_FUSED} select query_id, doc_id, source, round(score, 6) as score, cast(place as integer) as rank from cx")
 def hybrid_search(spark, d):
-    return search.diversify(_ranked(spark, d), "source").orderBy("rank").limit(fixed.CONTEXT).select("doc_id", "source", F.round("score", 6).alias("score"), "rank")
+    return _context(spark, d).select("query_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"{_FUSED}, c as (select greatest(0.0, least(1.0, coalesce(max(dense), 0.5))) as confidence from (select * from dv order by rank limit 6)) select round(confidence, 6) as confidence, confidence < 0.15 as refused from c")
+@query(f"{_FUSED}, c as (select a.query_id, case when count(doc_id) = 0 then 0 else greatest(0.0, least(1.0, coalesce(max(dense), 0.5))) end as confidence from a left join cx using (query_id) group by a.query_id) select query_id, round(confidence, 6) as confidence, confidence < 0.15 as refused from c")
 def retrieval_confidence(spark, d):
-    best = search.diversify(_ranked(spark, d), "source").orderBy("rank").limit(fixed.CONTEXT)
-    one = best.agg(search.confidence(F.lit(None).cast("double"), F.col("dense")).alias("confidence"))
-    return one.select(F.round("confidence", 6).alias("confidence"), (F.col("confidence") < fixed.REFUSE_BELOW).alias("refused"))
+    one = _context(spark, d).groupBy("query_id").agg(search.confidence(F.lit(None).cast("double"), F.col("dense")).alias("confidence"))
+    out = _questions(spark, d).select("query_id").join(one, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return out.select("query_id", F.round("confidence", 6).alias("confidence"), (F.col("confidence") < fixed.REFUSE_BELOW).alias("refused"))
+
+
+# ---- evaluation of retrieval: a passage's question should find a document that holds the passage ---------------
+_HELD = "hd as (select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text))"
+_RERANKED = f"""{_FUSED}, {_HELD}, qs as (select query_id, list_distinct({TOK}) as q from a),
+ rr as (select dv.query_id, dv.doc_id, dv.rank, case when len(q) = 0 then 0.0 else len(list_intersect(q, list_distinct(t.t))) / len(q) end as rerank from dv join qs using (query_id) join t using (doc_id)),
+ tp as (select *, row_number() over (partition by query_id order by rerank desc, rank) as place from rr qualify place <= 6)"""
+
+
+def _holders(spark, d):
+    """(item_id, doc_id): documents that hold a passage. Each passage is looked up by its rarest inner token, and what that finds is compared."""
+    items, rows, built = table(spark, d, "benchmark"), docs(spark, d).select("doc_id", F.col("text").alias("body")), stored.index(spark, d)
+    inner = text.bound(text.tokens(F.col("text"), True), lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))))
+    each = items.select("item_id", F.explode(F.array_distinct(inner)).alias("term")).join(built.terms, "term", "left").na.fill(0, ["df"])
+    rarest = each.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    found = built.postings.select("term", "doc_id").join(search.few(rarest), "term").select("item_id", "doc_id")
+    known = found.join(items, "item_id").join(rows, "doc_id")
+    short = items.join(rarest, "item_id", "left_anti")  # passages of fewer than three tokens meet every document
+    loose = rows.crossJoin(search.few(short)) if not short.isEmpty() else None
+    exact = known if loose is None else known.select("item_id", "doc_id", "text", "body").unionByName(loose.select("item_id", "doc_id", "text", "body"))
+    return exact.filter(F.col("body").contains(F.col("text"))).select("item_id", "doc_id")
+
+
+def _reranked(spark, d):
+    kept = search.diversify(_ranked(spark, d), "source", by="query_id").join(_questions(spark, d).withColumnRenamed("text", "question"), "query_id")
+    return search.rerank(docs(spark, d).select("doc_id", "text").join(search.few(kept.drop("text")), "doc_id"), fixed.CONTEXT)
+
+
+@query(f"""{_RERANKED} select query_id, doc_id, round(rerank, 6) as rerank_score, cast(place as integer) as rank from tp""")
+def rerank_topk(spark, d):
+    return _reranked(spark, d).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"""{_RERANKED}, r as (select i.item_id % 2 as half, min(case when hd.doc_id is not null and place <= 5 then place end) as hit_rank from (select distinct item_id from hd) i left join tp on tp.query_id = i.item_id left join hd on hd.item_id = i.item_id and hd.doc_id = tp.doc_id group by i.item_id)
+    select half, count(*) as n, round(avg(case when hit_rank is not null then 1.0 else 0.0 end), 3) as recall, round(avg(coalesce(1.0 / hit_rank, 0.0)), 3) as mrr from r group by grouping sets ((), (half))""")
+def recall_mrr(spark, d):
+    held = _holders(spark, d)
+    hits = _reranked(spark, d).filter("rank <= 5").select(F.col("query_id").alias("item_id"), "doc_id", "rank").join(held, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("hit_rank"))
+    ranked = held.select("item_id").distinct().join(hits, "item_id", "left").select((F.col("item_id") % 2).alias("half"), "hit_rank")
+    return insights.recall_mrr(ranked, ["half"])
+
+
+_CONFIDENT = f"{_RERANKED}, cf as (select b.item_id, b.item_id in (select item_id from hd) as inside, coalesce(max(rerank), 0.0)::double as confidence from benchmark b left join tp on tp.query_id = b.item_id group by b.item_id)"
+
+
+def _confidences(spark, d):
+    best = _reranked(spark, d).groupBy(F.col("query_id").alias("item_id")).agg(search.confidence(F.col("rerank_score"), F.lit(None).cast("double")).alias("confidence"))
+    inside = _holders(spark, d).select("item_id").distinct().withColumn("in_scope", F.lit(True))
+    return table(spark, d, "benchmark").select("item_id").join(best, "item_id", "left").join(inside, "item_id", "left").na.fill({"confidence": 0.0, "in_scope": False})
+
+
+@query(
+    f"""{_CONFIDENT}, g as (select avg(case when inside then cast(confidence < 0.15 as integer) end) as false_refusal_rate, avg(case when not inside then cast(confidence < 0.15 as integer) end) as refusal_rate,
+    min(case when inside then confidence end) as lowest_in, max(case when not inside then confidence end) as highest_out from cf)
+    select round(false_refusal_rate, 6) as false_refusal_rate, round(refusal_rate, 6) as refusal_rate, round(lowest_in, 6) as lowest_in, round(highest_out, 6) as highest_out, highest_out < lowest_in as separable from g"""
+)
+def refusal_report(spark, d):
+    return insights.refusal_report(_confidences(spark, d), fixed.REFUSE_BELOW).select(*[F.round(c, 6).alias(c) for c in ("false_refusal_rate", "refusal_rate", "lowest_in", "highest_out")], "separable")
+
+
+def _rank_at(p: int) -> str:
+    return f"max(case when r = greatest(1, least(n, cast(round_even({p} / 100.0::double * n + 0.5, 0) as bigint))) then v end)"
+
+
+def _ranks_sql(by: str, value: str, rows: str) -> str:
+    return f"(select {by}, {value} as v, row_number() over (partition by {by} order by {value}) as r, count(*) over (partition by {by}) as n from {rows} where {value} is not null)"
+
+
+@query(f"{_CONFIDENT} select inside as in_scope, max(n) as n, round(min(v), 3) as min, round({_rank_at(5)}, 3) as p5, round(median(v), 3) as median, round({_rank_at(95)}, 3) as p95, round(max(v), 3) as max from {_ranks_sql('inside', 'confidence', 'cf')} group by inside")
+def confidence_summary(spark, d):
+    return metrics.confidence_summary(_confidences(spark, d), "in_scope")
 
 
 # ---- safety ---------------------------------------------------------------------------------------------------
 def _verdict_sql() -> str:
     cases = " ".join(f"when regexp_matches(s, '(?i){p}') then '{n}'" for n, p in fixed.GUARDRAIL_RULES)
-    return f"select conv_id, turn, case when trim(s) = '' then 'empty' when length(s) > 4000 then 'too_long' {cases} end as rule from (select conv_id, turn, {TURN} as s from conversations)"
+    return f"select conv_id, turn, case when trim(s) = '' then 'empty_input' when length(s) > 4000 then 'input_too_long' {cases} end as rule from (select conv_id, turn, {TURN} as s from conversations)"
 
 
 @query(_verdict_sql())
@@ -342,19 +474,29 @@ def pii_counts(spark, d):
 
 @query()
 def pii_mask(spark, d):
-    return docs(spark, d).select("doc_id", safety.mask(F.expr(_PII)).alias("masked"))
+    """The masked text and how many values it hides."""
+    out = docs(spark, d).select("doc_id", safety.masked(F.expr(_PII)).alias("m"))
+    return out.select("doc_id", F.col("m.text").alias("masked"), F.size("m.mapping").alias("n_values"))
+
+
+@query("select doc_id, true as same from documents")
+def pii_unmask(spark, d):
+    """Masking and restoring gives the text back."""
+    s = F.expr(_PII)
+    out = docs(spark, d).select("doc_id", s.alias("s"), safety.masked(s).alias("m"))
+    return out.select("doc_id", (safety.unmask(F.col("m.text"), F.col("m.mapping")) == F.col("s")).alias("same"))
 
 
 @query()
 def transcript_filter(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.expr(TURN).alias("s")).withColumn("t", text.tokens(F.col("s")))
-    return t.select("conv_id", "turn", safety.spurious(F.col("s"), F.col("t")).alias("spurious"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", safety.transcript(F.expr(TURN)).alias("t"))
+    return t.select("conv_id", "turn", "t.spurious", F.md5(F.col("t.text").cast("binary")).alias("digest"))
 
 
 # ---- conversations --------------------------------------------------------------------------------------------
 _USER = f"u as (select conv_id, turn, {TURN} as text from conversations where role = 'user')"
-_REP = f"""{_USER}, k as (select conv_id, turn, text, list_distinct({TOK}) as tok from u), p as (select *, list(tok) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding) as ptok from k),
- r as (select conv_id, turn, text, len(list_filter(coalesce(ptok, []), lambda q: len(list_distinct(list_concat(q, tok))) > 0 and len(list_intersect(q, tok)) >= 0.6 * len(list_distinct(list_concat(q, tok))))) > 0 as repeated from p),
+_REP = f"""{_USER}, k as (select conv_id, turn, text, list_distinct({SPACED}) as tok from u), p as (select *, list(tok) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding) as ptok from k),
+ r as (select conv_id, turn, text, len(list_filter(coalesce(ptok, []), lambda q: len(q) > 0 and len(tok) > 0 and len(list_intersect(q, tok)) >= 0.6 * len(list_distinct(list_concat(q, tok))))) > 0 as repeated from p),
  i as (select *, sum(case when repeated then 0 else 1 end) over (partition by conv_id order by turn) as island from r),
  st as (select conv_id, turn, text, repeated, cast(case when repeated then row_number() over (partition by conv_id, island, repeated order by turn) else 0 end as integer) as streak from i)"""
 
@@ -381,7 +523,7 @@ def repeat_streak(spark, d):
 
 _NEG = " + ".join("cast(contains(lower(text), '{}') as integer)".format(w.replace("'", "''")) for w in fixed.NEGATIVE_EN)
 _SCORE = rf"""{_REP}, sb as (select *, coalesce(lag(streak) over (partition by conv_id order by turn), 0) as sbefore from st),
- sc as (select conv_id, turn, case when regexp_matches(text, '(?i)\b(human|agent|representative|supervisor|manager)\b') and regexp_matches(text, '(?i)\b(want|need|speak|talk|connect|transfer|give)\b') then 1.0
+ sc as (select conv_id, turn, case when regexp_matches(text, '(?i)\b(human|agent|representative|supervisor|manager)\b') and regexp_matches(text, '(?i)(want|need|talk|speak)') then 1.0
  else least(1.0, least(0.2 * ({_NEG}), 0.4) + (case when regexp_matches(text, '(?i)\b(wtf|damn|hell)\b') then 0.15 else 0 end) + (case when regexp_matches(text, '[!؟?]{{2,}}|[A-Z]{{5,}}') then 0.10 else 0 end)
  + (case when repeated then 0.25 else 0 end) + (case when sbefore >= 2 then 0.20 else 0 end)) end as score from sb)"""
 
@@ -418,10 +560,10 @@ def session_day_gap(spark, d):
     return conversation.sessions(table(spark, d, "events"), 86400)
 
 
-@query("select user_id, max(ts) as last_seen, epoch_us(timestamp '2024-02-01') - epoch_us(max(ts)) > cast(86400000000 as bigint) as expired from events group by user_id")
+@query("select user_id, max(ts) as last_seen, epoch_us(timestamp '2024-02-01') - epoch_us(max(ts)) > cast(3600000000 as bigint) as expired from events group by user_id")
 def session_eviction(spark, d):
     last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return last.withColumn("expired", F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) > 86400 * 1000000)
+    return last.withColumn("expired", F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) > fixed.TTL_SECONDS * 1000000)
 
 
 @query("select (hour(ts) + 2) % 24 between 9 and 21 as available, count(*) as n from events group by 1")
@@ -429,10 +571,72 @@ def agent_hours(spark, d):
     return table(spark, d, "events").groupBy(conversation.agent_available(F.col("ts")).alias("available")).agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as turns, round(avg(case when event_type = 'purchase' then 1.0 else 0.0 end), 3) as purchase_rate, count(distinct user_id) as users, round(avg(value), 6) as mean_value from events")
+#: Turn records, which the tables lack, from events: an expression for each column that both engines evaluate alike.
+_TURNS = {
+    "turn_no": "event_id", "session_id": "concat('s', user_id)", "input_mode": "case when event_id % 5 = 0 then 'voice' else 'text' end", "language": "case event_id % 4 when 0 then 'en' when 1 then 'ar' when 2 then 'arz' else 'mixed' end",
+    "intent": "event_type", "asr_confidence": "case when event_id % 15 <> 5 then cast(event_id % 97 as double) / 97 end", "question": "case when event_id % 11 = 0 then '' else concat('question ', event_id) end",
+    "grounded": "event_id % 3 <> 0", "handed_off": "event_id % 17 = 0", "blocked": "event_id % 23 = 0", "executed": "case when event_id % 6 = 0 then event_id % 12 = 0 end",
+    "resolution": "case when event_id % 3 = 0 then 'no_answer' when event_id % 7 = 0 then 'refused' else 'answered' end", "total_ms": "case when event_id % 23 = 0 then cast(0 as double) else value * 10 end",
+    "asr_ms": "case when event_id % 5 = 0 then value end", "guardrail_ms": "cast(event_id % 4 as double)", "retrieval_ms": "value * 2", "rerank_ms": "cast(null as double)", "generation_ms": "case when event_id % 3 <> 0 then value * 5 end", "tts_ms": "cast(0 as double)",
+}
+_TURNS_SQL = "tu as (select " + ", ".join(f"{v} as {k}" for k, v in _TURNS.items()) + " from events)"
+
+
+def _turn_records(spark, d):
+    return table(spark, d, "events").select(*[F.expr(v).alias(k) for k, v in _TURNS.items()])
+
+
+@query(
+    f"""with {_TURNS_SQL} select count(*) as turns, count(*) filter (input_mode = 'voice') as voice_turns, count(*) filter (input_mode = 'text') as text_turns, round(avg(cast(grounded as integer)), 3) as grounded_rate, round(avg(cast(handed_off as integer)), 3) as escalation_rate,
+    count(*) filter (blocked) as blocked_turns, count(*) filter (executed) as actions_executed, count(*) filter (not executed) as actions_refused, round(avg(total_ms) filter (total_ms > 0), 1) as avg_total_ms, {', '.join(f'round(avg({s}), 1) as avg_{s}' for s in fixed.STAGES)},
+    (select round({_rank_at(95)}, 1) from (select total_ms as v, row_number() over (order by total_ms) as r, count(*) over () as n from tu where total_ms > 0)) as p95_total_ms from tu"""
+)
 def insights_summary(spark, d):
-    hit = F.avg((F.col("event_type") == "purchase").cast("double"))
-    return table(spark, d, "events").agg(F.count("*").alias("turns"), F.round(hit, 3).alias("purchase_rate"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return metrics.summary(_turn_records(spark, d))
+
+
+@query(f"with {_TURNS_SQL} select language, count(*) as n from tu group by language")
+def insights_languages(spark, d):
+    return _turn_records(spark, d).groupBy("language").agg(F.count("*").alias("n"))
+
+
+_SAMPLES_SQL = " union all ".join(f"select '{s.removesuffix('_ms')}' as stage, turn_no, {s} as ms from tu where coalesce({s}, 0) <> 0" for s in ["total_ms", *fixed.STAGES])
+
+
+@query(f"with {_TURNS_SQL}, sa as (select stage, ms from ({_SAMPLES_SQL}) qualify row_number() over (partition by stage order by turn_no desc) <= 2000) select stage, max(n) as n, round(avg(v), 1) as mean_ms, round({_rank_at(50)}, 1) as p50_ms, round({_rank_at(95)}, 1) as p95_ms, round(max(v), 1) as max_ms from {_ranks_sql('stage', 'ms', 'sa')} group by stage")
+def stage_stats(spark, d):
+    return metrics.stage_stats(metrics.stage_samples(_turn_records(spark, d), ["turn_no"]))
+
+
+@query(
+    f"""with {_TURNS_SQL} select session_id, count(*) as turns, count(*) filter (input_mode = 'voice') as voice_turns, round(avg(asr_confidence) filter (input_mode = 'voice'), 3) as mean_asr_confidence, round(avg(cast(grounded as integer)), 3) as grounded_rate,
+    count(*) filter (resolution = 'refused') as refused, count(*) filter (blocked) as blocked, count(*) filter (handed_off) as escalated, count(*) filter (executed) as actions_executed, count(*) filter (not executed) as actions_refused from tu group by session_id"""
+)
+def session_metrics(spark, d):
+    return metrics.session_metrics(_turn_records(spark, d))
+
+
+@query(f"with {_TURNS_SQL} select count(distinct session_id) as sessions_tracked, count(*) as turns, count(*) filter (input_mode = 'voice') as voice_turns, count(*) filter (blocked) as guardrail_blocks, count(*) filter (handed_off) as escalations, (select count(value) from events) as wer_n, (select round(avg(value / 100), 4) from events) as wer_mean from tu")
+def metrics_registry(spark, d):
+    return metrics.registry(_turn_records(spark, d), table(spark, d, "events").select((F.col("value") / 100).alias("wer")))
+
+
+@query(f"with {_TURNS_SQL} select turn_no, round({' + '.join(f'coalesce({s}, 0)' for s in fixed.STAGES)}, 1) as total from tu")
+def stage_totals(spark, d):
+    return _turn_records(spark, d).select("turn_no", metrics.total_ms().alias("total"))
+
+
+@query("select event_id, round((epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts))) / 1000.0::double, 1) as lap_ms from events")
+def stage_laps(spark, d):
+    return metrics.laps(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("event_id", "lap_ms")
+
+
+@query("select condition, dialect, count(*) as n, round(avg(wer), 4) as wer, round(avg(wn), 4) as wer_normalised, round(avg(cn), 4) as cer_normalised, round(coalesce(avg(rtf), 0), 4) as mean_rtf, count(*) filter (f) as filtered, count(*) filter (c) as clarified from (select case event_id % 3 when 0 then 'clean' when 1 then 'noisy' else 'silence' end as condition, case event_id % 4 when 0 then 'arz' when 1 then 'ar' else 'en' end as dialect, value / 100 as wer, value / 200 as wn, value / 300 as cn, case when event_id % 9 <> 0 then round(value / 7, 2) end as rtf, event_id % 8 = 0 as f, event_id % 10 = 0 as c from events) group by grouping sets ((), (condition), (dialect))")
+def speech_report(spark, d):
+    case = lambda n, a: f"case event_id % {n} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(a[:-1])) + f" else '{a[-1]}' end"
+    duration = F.when(F.col("event_id") % 9 != 0, F.lit(7.0)).otherwise(0.0)
+    rows = table(spark, d, "events").select(F.expr(case(3, ["clean", "noisy", "silence"])).alias("condition"), F.expr(case(4, ["arz", "ar", "en"])).alias("dialect"), (F.col("value") / 100).alias("wer"), (F.col("value") / 200).alias("wer_normalised"), (F.col("value") / 300).alias("cer_normalised"), metrics.real_time_factor(F.col("value"), duration).alias("rtf"), (F.col("event_id") % 8 == 0).alias("filtered"), (F.col("event_id") % 10 == 0).alias("clarified"))
+    return metrics.speech_report(rows)
 
 
 @query("select event_type, count(*) as n from events group by event_type order by n desc, min(event_id) limit 5")
@@ -440,13 +644,9 @@ def top_intents(spark, d):
     return insights.most_common(table(spark, d, "events"), "event_type", "event_id")
 
 
-@query("select event_id, user_id from events where event_type = 'click' order by ts desc, event_id desc limit 10")
+@query(f"with {_TURNS_SQL} select turn_no, question from tu where resolution in ('no_answer', 'refused') and question <> '' order by turn_no desc limit 10")
 def unanswered_last10(spark, d):
-    return table(spark, d, "events").filter("event_type = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "user_id")
-
-
-def _rank_at(p: int) -> str:
-    return f"max(case when r = greatest(1, least(n, cast(round_even({p} / 100.0::double * n + 0.5, 0) as bigint))) then v end)"
+    return metrics.unanswered(_turn_records(spark, d)).select("turn_no", "question")
 
 
 @query(f"select event_type, max(n) as n, {_rank_at(50)} as p50, {_rank_at(95)} as p95 from (select event_type, value as v, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null) group by event_type")
@@ -472,34 +672,6 @@ def json_props_slots(spark, d):
 
 
 # ---- evaluation and access ------------------------------------------------------------------------------------
-_HITS = "h as (select b.item_id, min(d.doc_id) as first_doc from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id)"
-
-
-def _hits(spark, d):
-    """Items with the first document that holds their text. The items are a small evaluation set, broadcast behind a check."""
-    items, rows = table(spark, d, "benchmark"), docs(spark, d).select("doc_id", F.col("text").alias("body"))
-    if items.count() > 100_000:
-        raise ValueError("containment of a text is for evaluation sets of up to 100,000 items")
-    found = rows.join(F.broadcast(items), F.col("body").contains(F.col("text"))).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
-    return items.select("item_id").join(found, "item_id", "left")
-
-
-@query(f"with {_HITS}, r as (select item_id % 2 as half, case when first_doc is null then null else first_doc % 5 + 1 end as hit_rank from h) select half, count(*) as n, round(avg(case when hit_rank is not null then 1.0 else 0.0 end), 3) as recall, round(avg(coalesce(1.0 / hit_rank, 0.0)), 3) as mrr from r group by grouping sets ((), (half))")
-def recall_mrr(spark, d):
-    ranked = _hits(spark, d).select((F.col("item_id") % 2).alias("half"), (F.col("first_doc") % 5 + 1).alias("hit_rank"))
-    return insights.recall_mrr(ranked, ["half"])
-
-
-@query(
-    f"""with {_HITS}, c as (select first_doc is not null as inside, (item_id * 37 % 100) / 100.0::double as confidence from h), a as (select avg(case when inside then cast(confidence < 0.15 as integer) end) as false_refusal_rate,
-    avg(case when not inside then cast(confidence < 0.15 as integer) end) as refusal_rate, min(case when inside then confidence end) as lowest_in, max(case when not inside then confidence end) as highest_out from c)
-    select round(false_refusal_rate, 6) as false_refusal_rate, round(refusal_rate, 6) as refusal_rate, lowest_in, highest_out, highest_out < lowest_in as separable from a"""
-)
-def refusal_report(spark, d):
-    rows = _hits(spark, d).select(F.col("first_doc").isNotNull().alias("in_scope"), (F.col("item_id") * 37 % 100 / 100.0).alias("confidence"))
-    return insights.refusal_report(rows, fixed.REFUSE_BELOW).select(F.round("false_refusal_rate", 6).alias("false_refusal_rate"), F.round("refusal_rate", 6).alias("refusal_rate"), "lowest_in", "highest_out", "separable")
-
-
 @query("select a.item_id, round(case when length(a.s) > 0 then levenshtein(a.s, b.s) / cast(length(a.s) as double) else 0 end, 4) as cer from (select item_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') as s from benchmark) a join (select item_id - 1 as item_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') as s from benchmark) b using (item_id)")
 def wer_cer(spark, d):
     a = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "?").alias("s"))
@@ -517,22 +689,78 @@ def wer_cer_whole(spark, d):
     return a.join(b, "item_id").select("item_id", *[F.round(x, 4).alias(k) for k, x in rates.items()])
 
 
-@query("select c_custkey, case when c_acctbal < 0 then 'due' else 'credit' end as status, round(abs(c_acctbal), 2) as amount from customer")
+@query("select c_custkey, case when c_acctbal < 0 then 'due' else 'settled' end as status, case when c_acctbal < 0 then round(abs(c_acctbal), 2) else 0.0::double end as amount from customer")
 def balance_status(spark, d):
     status, amount = insights.balance_status(F.col("c_acctbal"))
     return table(spark, d, "customer").select("c_custkey", status.alias("status"), amount.alias("amount"))
 
 
-@query(
-    """with r as (select o_orderkey, 's' || (o_orderkey % 50) as session_id, o_custkey as customer_id, case o_orderkey % 3 when 0 then 'bill' when 1 then 'ticket' else 'ask' end as intent from orders),
-    g as (select distinct 's' || (c_custkey % 50) as session_id, c_custkey as customer_id, case when c_custkey % 2 = 0 then 'bill:read' else 'ticket:write' end as scope from customer)
-    select o_orderkey, case when intent = 'ask' then true else g.scope is not null end as allowed from r left join g on g.session_id = r.session_id and g.customer_id = r.customer_id and g.scope = case intent when 'bill' then 'bill:read' when 'ticket' then 'ticket:write' end"""
-)
+_REQUESTS = {
+    "request_id": "o_orderkey", "session_id": "case when o_orderkey % 29 = 0 then '' else concat('s', o_custkey % 50) end", "intent": "case o_orderkey % 3 when 0 then 'check_bill_balance' when 1 then 'create_support_ticket' else 'answer_question' end",
+    "customer_id": "case when o_orderkey % 4 = 0 then concat('c', o_custkey) end", "msisdn": "case when o_orderkey % 4 = 1 then concat('010', o_custkey) when o_orderkey % 4 = 2 then '' end", "subject": "case when o_orderkey % 5 = 0 then 'late' end", "description": "case when o_orderkey % 7 = 0 then 'it is slow' end",
+}
+_GRANTS = "concat('s', c_custkey % 50) as session_id, concat('c', c_custkey) as customer_id, case when c_custkey % 2 = 0 then 'billing:read' else 'tickets:write' end as scope"
+_HELD_BY = "where c_custkey % 50 < 40 and (c_custkey % 50 >= 20 or c_custkey < 50)"
+_DECIDED = f"""r as (select {', '.join(f'{v} as {k}' for k, v in _REQUESTS.items())} from orders), g as (select distinct {_GRANTS} from customer {_HELD_BY}),
+ o as (select session_id, count(distinct customer_id) as n, min(customer_id) as only from g group by session_id),
+ m as (select r.*, case when customer_id is not null then case when customer_id in (select g.customer_id from g where g.session_id = r.session_id) then customer_id end when coalesce(msisdn, '') <> '' then case when 'c' || substr(msisdn, 4) in (select g.customer_id from g where g.session_id = r.session_id) then 'c' || substr(msisdn, 4) end when o.n = 1 then o.only end as target from r left join o using (session_id)),
+ k as (select m.*, case intent when 'check_bill_balance' then 'billing:read' when 'create_support_ticket' then 'tickets:write' end as needed from m),
+ dc as (select k.*, intent = 'answer_question' or (k.session_id <> '' and g.scope is not null) as allowed, case when intent = 'answer_question' then '' when k.session_id = '' then 'no session' when target is null then 'could not resolve the account this request refers to'
+  when g.scope is null then 'session is not authorised for ' || needed || ' on this account' else '' end as reason from k left join g on g.session_id = k.session_id and g.customer_id = k.target and g.scope = k.needed)"""
+
+
+def _decisions(spark, d):
+    """Decisions on requests made of orders, with grants and accounts made of customers."""
+    slots = F.map_filter(F.create_map(*[x for k in ("customer_id", "msisdn", "subject", "description") for x in (F.lit(k), F.expr(_REQUESTS[k]))]), lambda _, v: v.isNotNull())
+    requests = table(spark, d, "orders").select(*[F.expr(_REQUESTS[k]).alias(k) for k in ("request_id", "session_id", "intent")], slots.alias("slots"))
+    customer = table(spark, d, "customer")
+    grants = customer.filter(_HELD_BY.removeprefix("where ")).selectExpr(*[x for x in ("concat('s', c_custkey % 50) as session_id", "concat('c', c_custkey) as customer_id", "case when c_custkey % 2 = 0 then 'billing:read' else 'tickets:write' end as scope")])
+    accounts = customer.select(F.concat(F.lit("c"), "c_custkey").alias("customer_id"), F.concat(F.lit("010"), "c_custkey").alias("msisdn"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("plan"), F.col("c_acctbal").alias("balance"), F.lit("2026-10-05").alias("bill_due_date"))
+    return access.decide(requests, grants, accounts), accounts
+
+
+@query(f"with {_DECIDED} select request_id, allowed, reason from dc")
 def permission_matrix(spark, d):
-    intent = F.expr("case o_orderkey % 3 when 0 then 'bill' when 1 then 'ticket' else 'ask' end")
-    requests = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("s"), F.col("o_orderkey") % 50).alias("session_id"), F.col("o_custkey").alias("customer_id"), intent.alias("intent"))
-    grants = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("session_id"), F.col("c_custkey").alias("customer_id"), F.expr("case when c_custkey % 2 = 0 then 'bill:read' else 'ticket:write' end").alias("scope"))
-    return insights.allowed(requests, grants, {"bill": "bill:read", "ticket": "ticket:write"}).select("o_orderkey", "allowed")
+    return _decisions(spark, d)[0].select("request_id", "allowed", "reason")
+
+
+@query(f"with {_DECIDED} select intent, cast(allowed as integer) as allowed, reason, count(*) as n from dc where intent <> 'answer_question' group by all")
+def audit_log(spark, d):
+    return access.audit(_decisions(spark, d)[0], F.lit("2026-01-01")).groupBy("intent", "allowed", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_DECIDED} select request_id, target as customer_id, coalesce(subject, 'Customer support request') as subject, coalesce(description, subject, 'Customer support request') as body from dc where allowed and intent = 'create_support_ticket'")
+def support_tickets(spark, d):
+    return access.ticket_rows(_decisions(spark, d)[0], F.lit("2026-01-01")).select("request_id", "customer_id", "subject", "body")
+
+
+@query(f"with {_DECIDED} select request_id, case when c_acctbal < 0 then 'due' else 'settled' end as status, round(c_acctbal, 2) as balance from dc join customer on 'c' || c_custkey = target where allowed and intent = 'check_bill_balance'")
+def bill_balances(spark, d):
+    return access.bill_rows(*_decisions(spark, d)).select("request_id", "status", "balance")
+
+
+@query(f"with {_DECIDED} select request_id, allowed and intent <> 'answer_question' as executed from dc")
+def action_outcomes(spark, d):
+    decided, accounts = _decisions(spark, d)
+    return access.execute(decided, accounts, F.lit("2026-01-01")).select("request_id", "executed")
+
+
+@query(f"with {_SCORE}, e as (select conv_id, min(turn) as turn from sc where score >= 0.6 group by conv_id) select conv_id as session_id, cast(least(20, count(*)) as integer) as n_messages from e join conversations c using (conv_id) where c.turn <= e.turn group by conv_id")
+def handoff_tickets(spark, d):
+    first = conversation.escalate_once(_scored(spark, d)).select("conv_id", "turn", F.lit("frustration").alias("reason"))
+    tickets = handoff.open_tickets(first, _turns(spark, d), F.lit("2026-01-01 10:00:00").cast("timestamp"))
+    return tickets.select("session_id", F.size("transcript").alias("n_messages"))
+
+
+@query("select conv_id, turn, cast(least(6, row_number() over (partition by conv_id order by turn)) as integer) as n_messages from conversations")
+def last_messages(spark, d):
+    return handoff.last_messages(_turns(spark, d)).select("conv_id", "turn", F.size("messages").alias("n_messages"))
+
+
+@query("select vec_id, 1 - (vec_id % 100) / 100.0::double as dense_score, cast(row_number() over (partition by label order by vec_id % 100, lpad(vec_id::varchar, 9, '0')) - 1 as integer) as dense_rank from embeddings")
+def flatten_hits(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("query_id"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("chunk_id"), *[F.lit(None).cast("string").alias(c) for c in ("text", "title", "url", "language", "source_kind")], (F.col("vec_id") % 100 / 100.0).alias("distance"))
+    return store.flattened(rows, F.col("distance").cast("double")).select("vec_id", "dense_score", "dense_rank")
 
 
 # ---- further relational queries -------------------------------------------------------------------------------

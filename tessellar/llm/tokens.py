@@ -1,11 +1,12 @@
 """Encoding whole texts with a public vocabulary, and attributing tokens to sections of a text.
 
-Texts are cut before single spaces that precede a non-space, where the vocabulary's pattern always cuts, and the
-encodings of the units between are remembered (a bounded memory per worker): most units recur.
+Long texts are encoded piece by piece, cut before a space that precedes a non-space, where the vocabulary's pattern always
+cuts, so that the memory a text takes while it is encoded is bounded.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,15 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import read_ranks, units
+from .bpe import read_ranks
+from .common import small_batches
 
-MOST_UNITS = 300_000
+#: Characters that are encoded at once, as far as the text has a place to cut it.
+PIECE = 1 << 20
+_CUT = re.compile(r"(?= \S)")
+
+
+def pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 class UnitEncoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False) of the tokenizers library.
 
-    ranks_path: the same vocabulary as ranks; units are then merged by tiktoken, with equal ids in a third of the
+    ranks_path: the same vocabulary as ranks; texts are then merged by tiktoken, with equal ids in a third of the
     time. Texts that hold the string of a special token always take the tokenizers library's whole-text path.
     """
 
@@ -42,7 +54,6 @@ class UnitEncoder:
             self.bytes_of[rank] = len(word)
         for i, word in special.items():
             self.bytes_of[i] = len(word.encode())
-        self.memory: dict[str, bytes] = {}
 
     def one(self, text: str | None) -> bytes:
         """Packed little-endian unsigned 32-bit ids; null is an empty text."""
@@ -50,17 +61,7 @@ class UnitEncoder:
             return b""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        encode, memory = self.units.encode_ordinary, self.memory
-        first, *rest = units(text)
-        out = [np.array(encode(first), "<u4").tobytes()]
-        for unit in rest:
-            got = memory.get(unit)
-            if got is None:
-                if len(memory) >= MOST_UNITS:
-                    memory.clear()
-                got = memory[unit] = np.array(encode(" " + unit), "<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
+        return b"".join([np.array(self.units.encode_ordinary(part), "<u4").tobytes() for part in pieces(text)])
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and last character of each token; a token inside a character has that character."""
@@ -100,6 +101,7 @@ def attribute(docs: DataFrame, vocabulary: tuple[str, str, str], bounds: Callabl
     a row with section_no -1 and null section. Null texts count as empty; repeated rows are counted row by row; an empty
     table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     if rule not in ("first", "last"):
         raise ValueError("rule: first or last")
     schema = T.StructType(

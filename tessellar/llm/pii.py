@@ -4,7 +4,7 @@ Four base kinds (e-mail, IP address, payment card, phone) are matched and valida
 high recall propose overlapping candidates: values behind key words, long mixed tokens, account and identity numbers, local
 phone numbers. Features of format and context describe a candidate, boosted trees score it as SQL CASE expressions, and a
 calibrated threshold decides. The trees are trained here, on seeded synthetic sentences whose features the same
-expressions compute. Base spans always stay; an accepted candidate gives way to a base span or a better candidate it overlaps.
+expressions compute. Base spans always stay; of the accepted candidates beside them the best is taken first, and each next one that overlaps none taken.
 
 Positions are code points, ends exclusive. Null texts count as empty; repeated rows are searched row by row; an empty
 table gives no rows; columns beside the text pass through. Patterns are rewritten so that no run of characters is scanned
@@ -31,10 +31,11 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Proposals; each must hold a digit.
+_KEYWORD = "(?i:password|passwd|secret|token|apikey|api_key|api-key)"
+#: Proposals; each must hold a digit, but for the values behind a key word.
 GENERATORS = {
-    "secret": r"""(?<=(?:password|passwd|secret|token|apikey|api_key|api-key)["']?[\x20]{0,2}[:=][\x20]{0,2}["']?)[A-Za-z0-9_+/-]{6,128}""",
-    "key": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
+    "secret": rf"""(?<={_KEYWORD}["']?[\x20]{{0,2}}[:=][\x20]{{0,2}}["']?)[A-Za-z0-9_+/-]{{6,}}+""",
+    "key": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -43,6 +44,7 @@ GENERATORS = {
 FEATURES = ("gen", "len", "digits", "upper", "hex", "context", "separators", "distinct", "luhn", "quoted")
 _CONTEXT = r"(?i)(?:password|passwd|secret|token|key|ssn|social|iban|account|card|phone|tel|call|id|passport)[^A-Za-z0-9]{0,4}(?:is|no|nr)?[^A-Za-z0-9]{0,4}$"
 _SPANS = "array<struct<start:int,end:int,m:string>>"
+_ROWS = "array<struct<start:int,end:int," + ",".join(f"{k}:int" for k in FEATURES) + ">>"
 
 
 def _found(text: str, pattern: str) -> str:
@@ -59,7 +61,8 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     none = f"cast(array() as {_SPANS})"
     t = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     t = t.withColumn("_digit", F.col("_text").rlike("[0-9]"))
-    t = t.withColumn("_clean", F.when(F.col("_digit") | F.col("_text").contains("@"), F.translate("_text", P1 + P2, "\ufffd\ufffd")))
+    t = t.withColumn("_keyed", F.col("_text").rlike(_KEYWORD + r"""["']?\x20{0,2}[:=]"""))
+    t = t.withColumn("_clean", F.when(F.col("_digit") | F.col("_keyed") | F.col("_text").contains("@"), F.translate("_text", P1 + P2, "\ufffd\ufffd")))
     t = t.withColumn("_host", F.regexp_replace("_clean", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", P1))
     t = t.withColumn("_joined", F.when(F.col("_digit"), F.regexp_replace("_clean", r"(?<=[0-9])[\x20-](?=[0-9])", P2)))
     gate = {"email": "contains(_text, '@')", "ip": "_digit", "card": "_digit", "phone": "_digit and contains(_text, '+')"}
@@ -78,7 +81,7 @@ def with_candidates(base: DataFrame) -> DataFrame:
     """The frame of with_base, with `_candidates`: an array of structs of start, end, kind and FEATURES."""
     share = lambda keep: f"100 * length(regexp_replace(x.m, '[^{keep}]', '')) div length(x.m)"
     arrays = []
-    for i, (_, pattern) in enumerate(GENERATORS.items()):
+    for i, (name, pattern) in enumerate(GENERATORS.items()):
         before = "substring(_clean, greatest(x.start - 23, 1), least(x.start, 24))"
         fields = {
             "gen": str(i),
@@ -93,9 +96,10 @@ def with_candidates(base: DataFrame) -> DataFrame:
             "quoted": f"cast({before} rlike r'[\"=:]$' as int)",
         }
         inner = ", ".join(f"cast({v} as int) as {k}" for k, v in fields.items())
-        arrays.append(f"transform(filter({_found('_clean', pattern)}, x -> x.m rlike '[0-9]'), x -> struct(x.start as start, x.end as end, {inner}))")
-    kind = "array<struct<start:int,end:int," + ",".join(f"{k}:int" for k in FEATURES) + ">>"
-    return base.withColumn("_candidates", F.expr(f"case when _digit then concat({', '.join(arrays)}) else cast(array() as {kind}) end"))
+        hits = _found("_clean", pattern)
+        rows = f"transform({hits if name == 'secret' else f"filter({hits}, x -> x.m rlike '[0-9]')"}, x -> struct(x.start as start, x.end as end, {inner}))"
+        arrays.append(f"case when {'_keyed' if name == 'secret' else '_digit'} then {rows} else cast(array() as {_ROWS}) end")
+    return base.withColumn("_candidates", F.expr(f"case when _digit or _keyed then concat({', '.join(arrays)}) else cast(array() as {_ROWS}) end"))
 
 
 @dataclass(frozen=True)
@@ -156,7 +160,8 @@ def synthetic(rows: int = 900, seed: int = 17) -> list[tuple[str, list[tuple[int
         lambda: ("password=", pick("0123456789abcdef", rng.randint(12, 24)), ""),
         lambda: ('token = "', pick("0123456789abcdef", rng.choice([32, 40, 64])), '"'),
         lambda: ("secret: ", pick(lower + upper + digits, rng.randint(12, 40)), ""),
-        lambda: ("api_key=", pick(lower + upper + digits, rng.randint(16, 40)), ""),
+        lambda: ("api_key=", pick(lower + upper + digits, rng.randint(16, 200)), ""),
+        lambda: (rng.choice(["password=", "PASSWORD=", "Secret="]), pick(lower, rng.randint(8, 20)), ""),
         lambda: ("", "AKIA" + pick(upper + digits, 16), ""),
         lambda: ("iban ", pick(upper, 2) + pick(digits, 18), ""),
         lambda: ("account ", pick(upper, 2) + pick(digits, 2) + pick(upper + digits, 18), ""),
@@ -173,6 +178,7 @@ def synthetic(rows: int = 900, seed: int = 17) -> list[tuple[str, list[tuple[int
         lambda: ("total ", f"{pick(digits, 3)} {pick(digits, 3)} {pick(digits, 4)}", ""),
         lambda: ("", pick(upper, rng.randint(16, 24)) + pick(digits, 1), ""),
         lambda: ("page=", pick(digits, rng.randint(6, 8)), ""),
+        lambda: (rng.choice(["the secret: ", "a token: ", "password : "]), pick(lower, rng.randint(6, 9)), ""),
     ]
     out = []
     for i in range(rows):
@@ -208,9 +214,10 @@ def find(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     out = out.withColumn("_scored", F.expr(f"case when size(_candidates) > 0 then {scored} else cast(array() as array<struct<kind:string,start:int,end:int,z:double>>) end"))
     meets = "y.start < x.end and x.start < y.end"
     better = "(y.z > x.z or (y.z = x.z and (y.start < x.start or (y.start = x.start and (y.end > x.end or (y.end = x.end and y.kind < x.kind))))))"
-    own = f"filter(_scored, x -> not exists(base, y -> {meets}) and not exists(_scored, y -> {meets} and {better}))"
+    best_first = f"array_sort(filter(_scored, x -> not exists(base, y -> {meets})), (y, x) -> case when {better} then -1 when y.z = x.z and y.start = x.start and y.end = x.end and y.kind = x.kind then 0 else 1 end)"
+    own = f"aggregate({best_first}, cast(array() as array<struct<kind:string,start:int,end:int,z:double>>), (a, x) -> case when exists(a, y -> {meets}) then a else array_append(a, x) end)"
     out = out.withColumn("found", F.expr(f"concat(base, transform(array_sort({own}, (l, r) -> case when l.start < r.start then -1 when l.start > r.start then 1 else 0 end), x -> struct(x.kind as kind, x.start as start, x.end as end)))"))
-    return out.drop("_text", "_digit", "_clean", "_candidates", "_scored", *[f"_{k}" for k in BASE])
+    return out.drop("_text", "_digit", "_keyed", "_clean", "_candidates", "_scored", *[f"_{k}" for k in BASE])
 
 
 def told(spans: str) -> Column:
@@ -220,12 +227,14 @@ def told(spans: str) -> Column:
 
 def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """docs with every span found replaced by its kind in brackets; overlapping spans are one, named by the first. Null texts stay null."""
-    out = find(docs, model, text)
+    # the input's columns travel as one, so that none clashes with the spans' names
+    out = find(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), model, "_t")
     order = "array_sort(found, (l, r) -> case when l.start < r.start then -1 when l.start > r.start then 1 when l.end > r.end then -1 when l.end < r.end then 1 else 0 end)"
     last = "element_at(a, -1)"
     grown = f"concat(slice(a, 1, size(a) - 1), array(struct({last}.kind as kind, {last}.start as start, greatest({last}.end, x.end) as end)))"
     merged = f"aggregate({order}, cast(array() as array<struct<kind:string,start:int,end:int>>), (a, x) -> case when size(a) > 0 and {last}.end > x.start then {grown} else array_append(a, x) end)"
     out = out.withColumn("_merged", F.expr(f"case when size(found) > 0 then {merged} end"))
-    pieces = f"transform(_merged, (x, i) -> concat(substring({text}, case when i = 0 then 1 else _merged[i - 1].end + 1 end, x.start - case when i = 0 then 0 else _merged[i - 1].end end), '[', upper(x.kind), ']'))"
-    rest = f"substring({text}, element_at(_merged, -1).end + 1, length({text}))"
-    return out.withColumn(text, F.expr(f"case when _merged is null then {text} else concat(array_join({pieces}, ''), {rest}) end")).drop("base", "found", "_merged")
+    pieces = f"transform(_merged, (x, i) -> concat(substring(_t, case when i = 0 then 1 else _merged[i - 1].end + 1 end, x.start - case when i = 0 then 0 else _merged[i - 1].end end), '[', upper(x.kind), ']'))"
+    rest = "substring(_t, element_at(_merged, -1).end + 1, length(_t))"
+    redacted = F.expr(f"case when _merged is null then _t else concat(array_join({pieces}, ''), {rest}) end")
+    return out.select(*[(redacted if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -1,7 +1,14 @@
-"""A training corpus from documents: classify, filter by rules, drop near duplicates, redact, pack."""
+"""A training corpus from documents: classify, filter by rules, drop near duplicates, redact, pack.
+
+Every stage takes all its predecessor kept, and all but the last give back the columns that came, whatever their names; the
+columns doc_id, text, lang and source must be there. Null texts are empty: the rules drop them, as they drop all texts of under 50
+words. Null ids are kept, and rows that share an id are rows of their own. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +24,21 @@ NEAR = jaccard_join.Join(width=5, percent=80)
 BROADCAST_IDS = 1_000_000
 
 
+def apart(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all but the columns that a stage reads renamed, and the way back: no column of the input clashes with a stage's own."""
+    names = {c: c if c in used else f"_in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), lambda out: out.select(*[F.col(v).alias(k) for k, v in names.items()])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = quality_net.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality_net.classify(docs, net).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    named, back = apart(docs, ["text"])
+    return back(quality_net.classify(named, net).filter(F.col("score") >= LEAST_QUALITY))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(docs).filter("kept").select(*docs.columns)
+    named, back = apart(docs, ["text", "lang", "source"])
+    return back(quality_rules.quality_rules(named).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = linked.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_gone"))
     few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
     key = F.xxhash64("doc_id", "text")
-    kept = docs.join(few(gone), key == F.col("_gone"), "left_anti")
+    named, back = apart(docs, ["doc_id", "text"])
+    kept = named.join(few(gone), key == F.col("_gone"), "left_anti")
     # rows that repeat both id and text
     repeated = few(twice)
     once = kept.join(repeated, key == F.col("_gone"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, key == F.col("_gone"), "left_anti").unionByName(once)
+    return back(kept.join(repeated, key == F.col("_gone"), "left_anti").unionByName(once))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,7 +146,8 @@ def link_extract(spark, d):
 def link_frontier_bfs(spark, d):
     pages = _pages(spark, d)
     seeds = pages.filter("page_id < 5").select(curate.normalize_url(F.col("url")).alias("url"))
-    return curate.frontier(curate.links(pages, HOSTS).select("base", "target").distinct(), seeds, 3)
+    edges = stored.kept(curate.links(pages, HOSTS).select("base", "target").distinct(), "edges")
+    return curate.frontier(edges, seeds, 3, keep=lambda level: stored.kept(level, "level"))
 
 
 @query(rf"select page_id, trim(regexp_replace(t, '\s*[-|]\s*{SITE.replace('.', chr(92) + '.')}\s*$', '')) as title from (select page_id, case when page_id % 4 = 0 then 'A page - part | ' || '{SITE}' else regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) end as t from pages)")
@@ -576,8 +577,8 @@ _TURNS = {
     "turn_no": "event_id", "session_id": "concat('s', user_id)", "input_mode": "case when event_id % 5 = 0 then 'voice' else 'text' end", "language": "case event_id % 4 when 0 then 'en' when 1 then 'ar' when 2 then 'arz' else 'mixed' end",
     "intent": "event_type", "asr_confidence": "case when event_id % 15 <> 5 then cast(event_id % 97 as double) / 97 end", "question": "case when event_id % 11 = 0 then '' else concat('question ', event_id) end",
     "grounded": "event_id % 3 <> 0", "handed_off": "event_id % 17 = 0", "blocked": "event_id % 23 = 0", "executed": "case when event_id % 6 = 0 then event_id % 12 = 0 end",
-    "resolution": "case when event_id % 3 = 0 then 'no_answer' when event_id % 7 = 0 then 'refused' else 'answered' end", "total_ms": "case when event_id % 23 = 0 then cast(0 as double) else value * 10 end",
-    "asr_ms": "case when event_id % 5 = 0 then value end", "guardrail_ms": "cast(event_id % 4 as double)", "retrieval_ms": "value * 2", "rerank_ms": "cast(null as double)", "generation_ms": "case when event_id % 3 <> 0 then value * 5 end", "tts_ms": "cast(0 as double)",
+    "resolution": "case when event_id % 3 = 0 then 'no_answer' when event_id % 7 = 0 then 'refused' else 'answered' end", "total_ms": "case when event_id % 23 = 0 then cast(0 as double) else floor(value * 40) / 4 end",
+    "asr_ms": "case when event_id % 5 = 0 then floor(value * 4) / 4 end", "guardrail_ms": "cast(event_id % 4 as double)", "retrieval_ms": "floor(value * 8) / 4", "rerank_ms": "cast(null as double)", "generation_ms": "case when event_id % 3 <> 0 then floor(value * 20) / 4 end", "tts_ms": "cast(0 as double)",
 }
 _TURNS_SQL = "tu as (select " + ", ".join(f"{v} as {k}" for k, v in _TURNS.items()) + " from events)"
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import search
 
@@ -21,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """A frame written to the shared folder and read back, so that its lineage ends in files."""
+    path = f"{shared_dir(frame.sparkSession)}/kept-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> search.Index:
     """The inverted index of `documents`: built once for this version of its files (names, sizes, times) and session, then opened."""
     jvm = spark.sparkContext._jvm

@@ -4,10 +4,11 @@ A task reads its texts once and passes them on. Before a text go the words in it
 yet, as arrays of bytes; Spark's higher-order functions fold the ranked merges over each of those arrays, with the
 rank map as a constant; the step behind them, in the same task and without any shuffle, keeps the folded words
 and assembles each text's ids. Words are never gathered across tasks, so no group can grow hot, and what a task
-remembers is bounded: after MOST_WORDS words both steps start afresh.
+remembers is bounded: after MOST_WORDS words both steps start afresh. Decoding concatenates the ids' binary pieces
+with Spark functions, from a literal table of them.
 
 Null texts count as empty and give no ids. Repeated rows and ids are encoded row by row. Invalid input does not
-exist for a byte-level vocabulary. Other columns pass through; `ids` (and `decoded`) replace columns so named.
+exist for a byte-level vocabulary. Other columns pass through; `ids`, `id_list` (and `decoded`) replace columns so named.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_WORDS = 250_000
+from .common import small_batches
+
+MOST_WORDS = 100_000
 #: Longer words are merged with a heap instead of the fold, whose work grows with the square of the length.
 LONG_WORD = 96
-WORDS_A_ROW = 20_000
+WORDS_A_ROW = 4096
 #: Texts handled at once.
-SLICE = 1000
+SLICE = 256
 #: A pair can take two places in the rank map: (pair * factor div 2**24) % _SLOTS for each factor.
 _SLOTS = 524_287
 _FACTORS = (1_041_204_193, 878_350_721)
@@ -194,7 +197,9 @@ def _assemble(pattern: str, text_at: int, ranks: dict[bytes, int], keep: list[in
                     at, start = end, stop
             if rows:
                 out = pa.Table.from_batches(rows).combine_chunks().to_batches(len(ids))[0]
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                ends = pa.array(np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=[*names, "ids", "id_list"])
 
     return run
 
@@ -217,9 +222,10 @@ def fold(word: str, table: str, byte_ids: str) -> str:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with `ids`: packed unsigned 32-bit little-endian token ids of the whole text."""
+    """docs with the token ids of the whole text: `ids`, packed unsigned 32-bit little-endian, and `id_list`, an array."""
     spark = docs.sparkSession
-    docs = docs.drop("ids")
+    small_batches(spark)
+    docs = docs.drop("ids", "id_list")
     constants = pa.table(
         {
             "slots": pa.array([pair_table(ranks).tolist()], pa.list_(pa.int64())),
@@ -235,20 +241,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     announced = announced.withColumns({"_slots": F.when(have, view.select("slots").scalar()), "_letters": F.when(have, view.select("letters").scalar())})
     merged = announced.withColumn("_ids", F.expr(f"transform(_words, w -> {fold('w', '_slots', '_letters')})")).drop("_slots", "_letters")
     keep = [i for i in range(len(fields)) if keep_text or i != at]
-    return merged.mapInArrow(_assemble(pattern, at, ranks, keep, [fields[i].name for i in keep]), T.StructType([*[fields[i] for i in keep], T.StructField("ids", T.BinaryType())]))
+    return merged.mapInArrow(_assemble(pattern, at, ranks, keep, [fields[i].name for i in keep]), T.StructType([*[fields[i] for i in keep], T.StructField("ids", T.BinaryType()), T.StructField("id_list", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """encoded with `decoded`: the pieces of its packed ids, concatenated; null ids give null."""
-    encoded = encoded.drop("decoded")
-    at = encoded.columns.index(ids)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for word, rank in ranks.items():
-        pieces[rank] = word
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "id_list") -> DataFrame:
+    """encoded with `decoded`: the binary pieces of its array of ids, concatenated; null ids give null, ids without a piece nothing.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            out = [None if x is None else b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in encoded.schema.fields], T.StructField("decoded", T.BinaryType())]))
+    The pieces are a constant of the plan, as hexadecimal strings, because Spark joins arrays of strings but not of binaries.
+    """
+    pieces = [""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        pieces[rank] = word.hex()
+    table = encoded.sparkSession.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
+    rows = encoded.drop("decoded").withColumn("_pieces", table.select("pieces").scalar())
+    return rows.withColumn("decoded", F.expr(f"unhex(array_join(transform({ids}, i -> get(_pieces, i)), ''))")).drop("_pieces")

@@ -21,7 +21,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
-    decoded = bpe.decode(encoded, ranks)
+    decoded = bpe.decode(encoded, ranks).drop("id_list")
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

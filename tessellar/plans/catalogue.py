@@ -214,9 +214,41 @@ def language_histogram(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n_docs"), total.alias("n_chars"), F.floor(total / F.greatest(F.count("*"), F.lit(1))).cast("long").alias("mean_chars"))
 
 
-@query()
+def _chunk_sql() -> str:
+    """The folds as recursion: a row for each line of each document that goes on, then one for each run."""
+    letters = lambda t: [f"length(regexp_replace({t}, '[^{c}]', '', 'g'))" for c in (r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}", "A-Za-z")]
+
+    def cost(t: str) -> str:
+        a, b = letters(t)
+        share = f"(case when {a} + {b} > 0 then {a} / ({a} + {b})::double else 0 end)"
+        return f"(case when length({t}) = 0 then 0 else floor(length({t}) / greatest(2.6 * {share} + 4.0 * (1 - {share}), 1.0))::integer + 1 end)"
+
+    trim = lambda t: rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+    name = r"trim(regexp_replace(line, '^[# ]+', ''))"
+    opens, full = "head and used > 180", "used + cost > 450 and lo < i"
+    ended = "list_append(runs, {'lo': lo, 'hi': i - 1, 'section': section})"
+    tail = "list_filter(range(lo, i + 1), lambda k: coalesce(list_sum(costs[k:i - 1]), 0) <= 60)[1]"
+    step = f"""select doc_id, i + 1, case when {opens} then i when {full} then {tail} else lo end,
+      case when {opens} then cost when {full} then (cost + coalesce(list_sum(costs[{tail}:i - 1]), 0))::integer else used + cost end,
+      case when {opens} then {name} when {full} then section when head and lo = i then {name} else section end, case when {opens} or {full} then {ended} else runs end
+      from (select st.*, x.costs, x.costs[i] as cost, x.lines[i] as line, x.heads[i] as head, x.n from st join x using (doc_id)) where i <= n"""
+    joins = f"length(t) < 120 and len(done) > 0 and {cost('done[len(done)].text')} + {cost('t')} <= 450"
+    return rf"""with recursive e as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda v: {trim('v')}), lambda v: v <> '') as lines from documents where length({trim('text')}) >= 120),
+     x as (select doc_id, lines, len(lines) as n, list_transform(lines, lambda v: {cost('v')}) as costs,
+       list_transform(lines, lambda v: starts_with(v, '#') or (length(v) <= 70 and len(list_filter(string_split_regex(v, '\s+'), lambda q: q <> '')) <= 8 and not regexp_matches(v, '[.،؟!:?]$'))) as heads from e),
+     st(doc_id, i, lo, used, section, runs) as (select doc_id, 1::bigint, 1::bigint, 0, '', []::struct(lo bigint, hi bigint, section varchar)[] from x union all {step}),
+     r as (select st.doc_id, x.lines, {ended} as runs from st join x using (doc_id) where st.i = x.n + 1),
+     b as (select doc_id, list_transform(runs, lambda v: {{'text': array_to_string(lines[v.lo:v.hi], chr(10)), 'section': v.section}}) as bodies from r),
+     g(doc_id, i, done) as (select doc_id, 1::bigint, []::struct(text varchar, section varchar)[] from b union all
+       select doc_id, i + 1, case when {joins} then list_append(done[1:len(done) - 1], {{'text': done[len(done)].text || chr(10) || t, 'section': done[len(done)].section}}) else list_append(done, bodies[i]) end
+       from (select g.*, b.bodies, b.bodies[i].text as t from g join b using (doc_id) where g.i <= len(b.bodies))),
+     z as (select g.doc_id, g.done from g join b using (doc_id) where g.i = len(b.bodies) + 1)
+     select doc_id, cast(k - 1 as integer) as chunk_no, nullif(done[k].section, '') as section, md5(done[k].text) as digest from (select doc_id, done, unnest(range(1, len(done) + 1)) as k from z)"""
+
+
+@query(_chunk_sql())
 def chunk_documents(spark, d):
-    return curate.chunk(docs(spark, d))
+    return curate.chunk(docs(spark, d)).select("doc_id", "chunk_no", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(
@@ -488,7 +520,19 @@ def pii_unmask(spark, d):
     return out.select("doc_id", (safety.unmask(F.col("m.text"), F.col("m.mapping")) == F.col("s")).alias("same"))
 
 
-@query()
+def _transcript_sql() -> str:
+    grams = lambda k: f"list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))"
+    most = lambda k: f"list_max(list_transform(list_distinct({grams(k)}), lambda a: len(list_filter({grams(k)}, lambda b: b = a))))"
+    loop = " or ".join(f"(len(w) >= {max(6, 3 * k)} and {most(k)} * {k} >= 0.6 * len(w))" for k in (1, 2, 3, 4))
+    folded = [a.translate(str.maketrans(fixed.LETTERS_FROM, fixed.LETTERS_TO)) for a in fixed.ARTIFACTS]
+    artefact = " or ".join(f"n = '{a}' or (contains(n, '{a}') and length(n) < {len(a) * 2.5})" for a in folded)
+    filler = fixed.FILLER.replace("'", "''")
+    return rf"""with t as (select conv_id, turn, {TURN} as text from conversations), f as (select *, trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) as n, {SPACED} as w from t),
+    b as (select *, n <> '' and (regexp_matches(text, '{filler}') or length(n) < 2 or {artefact} or coalesce({loop}, false)) as spurious from f)
+    select conv_id, turn, spurious, md5(case when spurious then '' else regexp_replace(text, '^\s+|\s+$', '', 'g') end) as digest from b"""
+
+
+@query(_transcript_sql())
 def transcript_filter(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", safety.transcript(F.expr(TURN)).alias("t"))
     return t.select("conv_id", "turn", "t.spurious", F.md5(F.col("t.text").cast("binary")).alias("digest"))
@@ -673,16 +717,21 @@ def json_props_slots(spark, d):
 
 
 # ---- evaluation and access ------------------------------------------------------------------------------------
-@query("select a.item_id, round(case when length(a.s) > 0 then levenshtein(a.s, b.s) / cast(length(a.s) as double) else 0 end, 4) as cer from (select item_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') as s from benchmark) a join (select item_id - 1 as item_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') as s from benchmark) b using (item_id)")
+#: DuckDB's levenshtein counts bytes: letters outside ASCII become ASCII characters that no text has, and the words of a pair one byte each (127 at most).
+_RATES = r"""f as (select item_id, text as s, trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) as n from benchmark),
+ ch as (select distinct unnest(string_split(s || n, '')) as c from f), hi as (select list(c order by c) as h from ch where unicode(c) > 127),
+ lo as (select list(chr(i::integer) order by i) as l from (select unnest(range(1, 128)) as i) where chr(i::integer) not in (select c from ch)),
+ p as (select a.item_id, a.s as s1, b.s as s2, a.n as n1, b.n as n2, array_to_string(h, '') as x, array_to_string(l[1:len(h)], '') as y from f a join f b on b.item_id = a.item_id + 1, hi, lo),
+ w as (select *, list_filter(regexp_split_to_array(s1, '[ \t\n\x0b\f\r]+'), lambda z: z <> '') as a1, list_filter(regexp_split_to_array(s2, '[ \t\n\x0b\f\r]+'), lambda z: z <> '') as a2,
+  list_filter(string_split(n1, ' '), lambda z: z <> '') as b1, list_filter(string_split(n2, ' '), lambda z: z <> '') as b2 from p),
+ k as (select *, list_distinct(list_concat(a1, a2)) as ka, list_distinct(list_concat(b1, b2)) as kb from w)"""
+_CER = "round(levenshtein(translate({0}1, x, y), translate({0}2, x, y)) / length({0}1)::double, 4)"
+_WER = "round(levenshtein(array_to_string(list_transform({0}1, lambda z: chr(list_position(k{0}, z)::integer)), ''), array_to_string(list_transform({0}2, lambda z: chr(list_position(k{0}, z)::integer)), '')) / len({0}1)::double, 4)"
+
+
+@query(f"with {_RATES} select item_id, {_WER.format('a')} as wer, {_CER.format('s')} as cer, {_WER.format('b')} as wer_normalised, {_CER.format('n')} as cer_normalised from k")
 def wer_cer(spark, d):
-    a = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "?").alias("s"))
-    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("h"))
-    return a.join(b, "item_id").select("item_id", F.round(text.error_rate(F.col("s"), F.col("h")), 4).alias("cer"))
-
-
-@query()
-def wer_cer_whole(spark, d):
-    """Word and character error rates of whole texts, raw and normalised. No oracle: DuckDB's levenshtein counts bytes."""
+    """Word and character error rates of whole texts, raw and normalised, each text against the next."""
     a = table(spark, d, "benchmark").select("item_id", F.col("text").alias("s"))
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("h"))
     raw, folded = [F.col("s"), F.col("h")], [text.normalize(F.lower(c)) for c in ("s", "h")]

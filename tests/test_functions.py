@@ -113,7 +113,7 @@ def test_error_rates_of_whole_texts(spark):
     assert one(spark, text.word_error_rate(F.col("a"), F.col("b")), a=" ", b="a") == 0 and one(spark, text.word_error_rate(F.col("a"), F.col("b")), a="é ü", b="") == 1
     sf = "/root/testdata/sf0.001"
     whole = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    got = {r.item_id: r for r in catalogue.QUERIES["wer_cer_whole"](spark, sf).collect()}
+    got = {r.item_id: r for r in catalogue.QUERIES["wer_cer"](spark, sf).collect()}
     assert set(got) == {i for i in whole if i + 1 in whole}
     for i, r in got.items():
         a, b = whole[i], whole[i + 1]

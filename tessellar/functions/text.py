@@ -91,6 +91,10 @@ def language(text: Column) -> Column:
     )
 
 
+def is_arabic(language: Column) -> Column:
+    return language.isin("ar", "arz", "mixed")
+
+
 def answer_language(language: Column) -> Column:
     """The language to answer in: English for English, Arabic for all else."""
     return F.when(language == "en", "en").otherwise("ar")

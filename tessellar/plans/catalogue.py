@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, safety, text
 from ..operators import access, conversation, curate, handoff, insights, metrics, search, store
+from ..sources.shared import materialize
 from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,8 +147,8 @@ def link_extract(spark, d):
 def link_frontier_bfs(spark, d):
     pages = _pages(spark, d)
     seeds = pages.filter("page_id < 5").select(curate.normalize_url(F.col("url")).alias("url"))
-    edges = stored.kept(curate.links(pages, HOSTS).select("base", "target").distinct(), "edges")
-    return curate.frontier(edges, seeds, 3, keep=lambda level: stored.kept(level, "level"))
+    edges = materialize(curate.links(pages, HOSTS).select("base", "target").distinct(), "edges")
+    return curate.frontier(edges, seeds, 3, keep=lambda level: materialize(level, "level"))
 
 
 @query(rf"select page_id, trim(regexp_replace(t, '\s*[-|]\s*{SITE.replace('.', chr(92) + '.')}\s*$', '')) as title from (select page_id, case when page_id % 4 = 0 then 'A page - part | ' || '{SITE}' else regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) end as t from pages)")

@@ -1,32 +1,13 @@
-"""Where queries keep what several of them read: an index per version of a table, in the folder that the cluster shares."""
+"""What several queries read: an inverted index for each version of a table, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..operators import search
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set and the session is local, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tessellar-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def kept(frame: DataFrame, name: str) -> DataFrame:
-    """A frame written to the shared folder and read back, so that its lineage ends in files."""
-    path = f"{shared_dir(frame.sparkSession)}/kept-{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+from ..sources.shared import remember, shared_dir
 
 
 def index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> search.Index:
@@ -39,5 +20,6 @@ def index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> search.Index
     path = f"{shared_dir(spark)}/index-{hashlib.sha256(name.encode()).hexdigest()[:24]}"
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
     if fresh or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        remember(spark, path)
         return search.Index.build(spark.read.parquet(str(source)).select("doc_id", "text"), path)
     return search.Index.open(spark, path)

@@ -3,7 +3,8 @@
 Every text is measured with built-in functions only. Each measure is an integer ratio, so a histogram of
 its values is a quantile sketch with a known error (one step of the ratio) and sketches of two sets of rows merge
 by adding counts: partial sums are formed before the shuffle, and a language's sketch is the merge of its
-sources' sketches. A group with too few rows takes its language's cut-offs, and that failing the corpus's.
+sources' sketches. A group with too few rows takes its language's cut-offs, and that failing the corpus's; no group's
+cut-off exceeds `most` times the corpus's, so that a source full of junk doesn't set a limit that lets its junk pass.
 
 Defined results: null text has no words and fails the base rule; null language or source is a group of its
 own; repeated rows and ids are judged row by row; an empty table gives an empty table; columns beside doc_id,
@@ -21,21 +22,22 @@ from .common import GAP, materialize
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _RATIOS = {
-    "r_symbols": "least(1000 * n_symbols div greatest(n_words, 1), 4000)",
+    "r_symbols": "1000 * n_symbols div greatest(n_words, 1)",
     "r_dup_lines": "1000 * n_dup_lines div greatest(n_lines, 1)",
     "r_repeat": "1000 * n_repeat_words div greatest(n_words, 1)",
-    "r_length": "least(100 * word_chars div greatest(n_words, 1), 4000)",
+    "r_length": "100 * word_chars div greatest(n_words, 1)",
     "r_upper": "1000 * n_upper div greatest(word_chars, 1)",
-    "r_shout": "least(1000 * n_shout div greatest(n_words, 1), 4000)",
+    "r_shout": "1000 * n_shout div greatest(n_words, 1)",
 }
 
 
 @dataclass(frozen=True)
 class Rules:
-    """A row is rejected above q75 + spread * (q75 - q50) + slack of its group; slack is in steps of the ratio."""
+    """A row is rejected above q75 + spread * (q75 - q50) + slack of its group, or `most` times that of the corpus; slack is in steps of the ratio."""
 
     spread: float = 6.0
     slack: dict = field(default_factory=lambda: {"r_symbols": 150, "r_dup_lines": 500, "r_repeat": 350, "r_length": 1500, "r_upper": 300, "r_shout": 300})
+    most: float = 4.0
     least_rows: int = 100
     broadcast_groups: int = 20_000
 
@@ -68,7 +70,7 @@ def with_metrics(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_pairs", F.expr("case when size(array_distinct(_windows)) < size(_windows) then sort_array(transform(_windows, (h, i) -> struct(h as h, i as i))) else cast(array() as array<struct<h:bigint,i:int>>) end"))
     repeated = "filter(_pairs, (p, j) -> (j > 0 and _pairs[j - 1].h = p.h) or (j < size(_pairs) - 1 and _pairs[j + 1].h = p.h))"
     out = out.withColumn("n_repeat_words", F.expr(f"cast(size(array_distinct(flatten(transform({repeated}, p -> array(p.i, p.i + 1, p.i + 2))))) as bigint)"))
-    out = out.withColumns({k: F.expr(f"cast({v} as int)") for k, v in _RATIOS.items()})
+    out = out.withColumns({k: F.expr(v) for k, v in _RATIOS.items()})
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.drop("_text", "_words", "_lines", "_windows", "_pairs")
 
@@ -109,11 +111,12 @@ def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> Dat
     hint = F.broadcast if few else (lambda x: x)
     out = measured.join(hint(group), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     out = out.join(hint(lang), F.col("lang").eqNullSafe(F.col("_l1")), "left")
-    out = out.withColumn("_limit", F.coalesce("_g0", "_g1", overall.scalar()))
+    out = out.withColumn("_corpus", overall.scalar()).withColumn("_limit", F.coalesce("_g0", "_g1", "_corpus"))
     above = F.lit(False)
     for k in _RATIOS:
-        above = above | F.coalesce(F.col(k) > F.col(f"_limit.limit_{k}"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~above).drop("_l", "_s", "_g0", "_l1", "_g1", "_limit")
+        limit = F.least(F.col(f"_limit.limit_{k}"), F.lit(rules.most) * F.col(f"_corpus.limit_{k}"))
+        above = above | F.coalesce(F.col(k) > limit, F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~above).drop("_l", "_s", "_g0", "_l1", "_g1", "_limit", "_corpus")
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

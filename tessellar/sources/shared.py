@@ -29,12 +29,21 @@ def remember(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends in replicated files, not in executor memory."""
-    path = f"{shared_dir(df.sparkSession)}/tessellar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    remember(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, bucketed: tuple[str, int] | None = None, compression: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends in replicated files, not in executor memory.
+
+    bucketed: a column and a number of buckets; what groups by the column then needs no exchange.
+    """
+    spark, unique = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessellar-{unique}"
+    writer = df.write.option("compression", compression) if compression else df.write
+    remember(spark, path)
+    if bucketed is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = "tessellar_" + unique.replace("-", "_")
+    writer.bucketBy(bucketed[1], bucketed[0]).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
 
 
 def _clean() -> None:

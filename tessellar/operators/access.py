@@ -57,9 +57,9 @@ def decide(requests: DataFrame, grants: DataFrame, customers: DataFrame, scopes:
     out = out.join(granted, ["session_id", "resolved", "_scope"], "left")
     action, blank = is_action(F.col("intent")), F.coalesce("session_id", F.lit("")) == ""
     reason = (
-        F.when(~action, "").when(blank, "no session").when(F.col("_scope").isNull(), F.concat(F.lit("no scope defined for "), "intent"))
-        .when(F.col("resolved").isNull(), "could not resolve the account this request refers to")
-        .when(F.col("_ok").isNull(), F.concat(F.lit("session is not authorised for "), F.col("_scope"), F.lit(" on this account"))).otherwise("")
+        F.when(~action, "").when(blank, fixed.NO_SESSION).when(F.col("_scope").isNull(), F.concat(F.lit(fixed.NO_SCOPE), "intent"))
+        .when(F.col("resolved").isNull(), fixed.NO_ACCOUNT)
+        .when(F.col("_ok").isNull(), F.concat(F.lit(fixed.NO_GRANT[0]), F.col("_scope"), F.lit(fixed.NO_GRANT[1]))).otherwise("")
     )
     allowed = ~action | (~blank & F.col("_ok").isNotNull())
     account = F.when(action & ~blank & F.col("_scope").isNotNull(), F.col("resolved"))
@@ -75,7 +75,7 @@ def audit(decisions: DataFrame, at: Column) -> DataFrame:
 def ticket_rows(decisions: DataFrame, at: Column) -> DataFrame:
     """The tickets that allowed requests open: subject of at most 200 characters, body of at most 2,000, the description or the subject in its place."""
     slot = lambda k: F.nullif(F.col("slots")[k], F.lit(""))
-    subject = F.substring(F.trim(F.coalesce(slot("subject"), F.lit("Customer support request"))), 1, 200)
+    subject = F.substring(F.trim(F.coalesce(slot("subject"), F.lit(fixed.TICKET_SUBJECT))), 1, 200)
     body = F.nullif(F.substring(F.trim(F.coalesce(slot("body"), slot("description"), F.lit(""))), 1, 2000), F.lit(""))
     id_ = F.concat(F.lit("TKT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "session_id", F.col("request_id").cast("string")), 256), 1, 10)))
     rows = decisions.filter((F.col("intent") == "create_support_ticket") & F.col("allowed") & F.col("resolved").isNotNull())

@@ -77,8 +77,8 @@ def detect_intent(message: Column, raw: Column) -> Column:
 def origin(p: Column, shared: str = "page") -> Column:
     """Where a passage comes from: an uploaded file and its page, or a title or URL behind the shared source's name."""
     filled = lambda c: F.nullif(c, F.lit(""))
-    page = F.when(F.coalesce(p["page"], F.lit(0)) != 0, F.concat(F.lit(", page "), p["page"].cast("string"))).otherwise("")
-    return F.when(filled(p["doc_name"]).isNotNull(), F.concat(F.lit("customer document: "), p["doc_name"], page)).otherwise(F.concat(F.lit(f"{shared}: "), F.coalesce(filled(p["title"]), p["url"], F.lit(""))))
+    page = F.when(F.coalesce(p["page"], F.lit(0)) != 0, F.concat(F.lit(fixed.PAGE_OF), p["page"].cast("string"))).otherwise("")
+    return F.when(filled(p["doc_name"]).isNotNull(), F.concat(F.lit(fixed.UPLOAD_ORIGIN), p["doc_name"], page)).otherwise(F.concat(F.lit(f"{shared}: "), F.coalesce(filled(p["title"]), p["url"], F.lit(""))))
 
 
 def format_passages(passages: Column, shared: str = "page") -> Column:
@@ -147,7 +147,7 @@ def answer(rows: DataFrame, generate: Callable[[Column], Column] | None, notices
     `notices` has the keys no_context and model_down.
     """
     enough = (F.size("passages") > 0) & (F.coalesce("confidence", F.lit(0.0)) >= least)
-    prompt = F.concat(F.lit("Available passages:\n\n"), format_passages(F.col("passages")), F.lit("\n\nCustomer question: "), F.col("question"), F.lit("\n\nAnswer (cite sources by number):"))
+    prompt = F.concat_ws("\n\n", F.lit("Passages"), format_passages(F.col("passages")), F.lit("Question"), F.col("question"), F.lit("Answer from the passages alone, with the numbers of those used in brackets."))
     raw = F.lit(None).cast("string") if generate is None else generate(F.when(enough, prompt))
     out = rows.withColumn("_raw", F.when(enough, raw))
     none = F.struct(F.lit(notices["no_context"]).alias("text"), F.expr("cast(array() as array<struct<marker:string,title:string,url:string,doc_name:string,page:int,snippet:string>>)").alias("citations"))

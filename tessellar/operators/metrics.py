@@ -131,9 +131,9 @@ def manifest_problems(items: DataFrame, files: DataFrame) -> DataFrame:
     """(item, problem) of a manifest (item, audio, reference, dialect, condition) against the files (audio) there are; nothing for a sound one."""
     label = F.coalesce("audio", F.concat(F.lit("entry "), F.col("item").cast("string")))
     held = items.join(files.select("audio", F.lit(True).alias("_there")).distinct(), "audio", "left")
-    missing = [F.when(F.col(c).isNull(), F.concat(label, F.lit(f": missing field '{c}'"))) for c in fixed.MANIFEST_FIELDS]
-    absent = F.when((F.coalesce("audio", F.lit("")) != "") & F.col("_there").isNull(), F.concat(label, F.lit(": file not found")))
-    empty = F.when(~F.col("condition").eqNullSafe("silence") & (F.trim(F.coalesce("reference", F.lit(""))) == ""), F.concat(label, F.lit(": empty reference transcript")))
+    missing = [F.when(F.col(c).isNull(), F.concat(label, F.lit(f"{fixed.MISSING_FIELD}'{c}'"))) for c in fixed.MANIFEST_FIELDS]
+    absent = F.when((F.coalesce("audio", F.lit("")) != "") & F.col("_there").isNull(), F.concat(label, F.lit(fixed.MISSING_FILE)))
+    empty = F.when(~F.col("condition").eqNullSafe("silence") & (F.trim(F.coalesce("reference", F.lit(""))) == ""), F.concat(label, F.lit(fixed.EMPTY_REFERENCE)))
     return held.select("item", F.explode(F.array_compact(F.array(*missing, absent, empty))).alias("problem"))
 
 
@@ -166,18 +166,11 @@ def compare_models(results: dict[str, DataFrame], commercial: dict[str, bool]) -
     return out.orderBy(F.desc("recall"), F.desc("mrr"), "model")
 
 
-def markdown(one, intents: list[tuple[str, int]], languages: list[tuple[str, int]], questions: list[str]) -> str:
-    """A report of a collected summary row, the top intents, the languages and the unanswered questions."""
+def markdown(one: dict, counts: dict[str, list[tuple[str, int]]], questions: list[str]) -> str:
+    """A report in Markdown: a table of a collected summary row's measures, one of each list of counts, and the unanswered questions."""
     if not one["turns"]:
-        return "_No turns yet._"
-    parts = [
-        f"**Turns:** {one['turns']} ({one['voice_turns']} voice, {one['text_turns']} text)",
-        f"**Grounded answers:** {one['grounded_rate']:.0%}",
-        f"**Escalated:** {one['escalation_rate']:.0%}",
-        f"**Blocked:** {one['blocked_turns']}",
-        f"**Actions:** {one['actions_executed']} executed, {one['actions_refused']} refused",
-        f"**Latency:** avg {one['avg_total_ms']:.0f} ms, p95 {one['p95_total_ms']:.0f} ms",
-    ]
-    listed = lambda pairs: ", ".join(f"{k} ({n})" for k, n in pairs)
-    parts += [f"**{title}:** {listed(pairs)}" for title, pairs in (("Top intents", intents), ("Languages", languages)) if pairs]
-    return "\n\n".join([*parts, *(["**Unanswered:**", *[f"- {q}" for q in questions]] if questions else [])])
+        return "No turns."
+    shown = [(k.replace("_", " "), f"{v:.1%}" if k.endswith("_rate") else f"{v:g}") for k, v in one.items() if v is not None]
+    parts = [[("measure", "value"), *shown], *[[(title, "turns"), *pairs] for title, pairs in counts.items() if pairs]]
+    tables = ["\n".join([f"| {rows[0][0]} | {rows[0][1]} |", "| - | - |", *[f"| {k} | {v} |" for k, v in rows[1:]]]) for rows in parts]
+    return "\n\n".join([*tables, *(["Unanswered:\n" + "\n".join(f"- {q}" for q in questions)] if questions else [])])

@@ -24,11 +24,13 @@ def term_counts(docs: DataFrame, stem: bool = True) -> DataFrame:
 
 #: Rows of query terms up to which they are broadcast to the postings; beyond, the join shuffles.
 BROADCAST_TERMS = 1_000_000
+#: Partitions that a frequent term's postings are dealt to.
+SPREAD = 32
 
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index in files: postings ranged by term, document frequencies, and one row of totals."""
+    """An inverted index in files: postings in the order of terms in each file, document frequencies, and one row of totals."""
 
     postings: DataFrame
     terms: DataFrame
@@ -40,7 +42,9 @@ class Index:
         """Tokenise the corpus once and write it. Postings are sorted by term, so that a query's terms prune row groups."""
         spark = docs.sparkSession
         found = postings(docs, key, stem)
-        found.repartitionByRange(F.col("term"), F.col(key)).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+        # a term's postings are spread over SPREAD partitions, whatever their number; a range partitioning would read the corpus twice
+        salt = F.pmod(F.xxhash64(key), F.lit(SPREAD))
+        found.repartition("term", salt).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.parquet(f"{path}/postings")
         written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         # documents without a term have no posting, but count

@@ -92,8 +92,8 @@ def test_empty_summary(spark):
 
 def test_report_and_evaluation_tables(spark):
     one = {"turns": 2, "voice_turns": 1, "text_turns": 1, "grounded_rate": 0.5, "escalation_rate": 0.0, "blocked_turns": 0, "actions_executed": 1, "actions_refused": 0, "avg_total_ms": 12.3, "p95_total_ms": 20.0}
-    report = metrics.markdown(one, [("answer_question", 2)], [("en", 2)], ["why?"])
-    assert "**Grounded answers:** 50%" in report and report.endswith("- why?") and metrics.markdown({"turns": 0}, [], [], []) == "_No turns yet._"
+    report = metrics.markdown(one, {"intent": [("answer_question", 2)], "language": [("en", 2)]}, ["why?"])
+    assert "| grounded rate | 50.0% |" in report and "| answer_question | 2 |" in report and report.endswith("- why?") and metrics.markdown({"turns": 0}, {}, []) == "No turns."
     ranked = lambda *x: spark.createDataFrame([(i, r) for i, r in enumerate(x)], "query int, hit_rank int")
     table = metrics.compare_models({"a": ranked(1, None), "b": ranked(2, 1)}, {"a": True}).collect()
     assert [(r.model, r.commercial, r.recall, r.mrr) for r in table] == [("b", False, 1.0, 0.75), ("a", True, 0.5, 0.5)]

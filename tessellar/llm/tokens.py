@@ -45,8 +45,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         ranks = read_ranks(ranks_path)
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.whole = lambda: Tokenizer.from_file(tokenizer_path)  # rarely needed, and large
+        self.tokenizer = None
+        special = {i: t.content for i, t in self.whole().get_added_tokens_decoder().items()}
         self.special = list(special.values())
         self.units = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max([*ranks.values(), *special]) + 1, np.int64)
@@ -60,6 +61,7 @@ class UnitEncoder:
         if not text:
             return b""
         if any(s in text for s in self.special):
+            self.tokenizer = self.tokenizer or self.whole()
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([np.array(self.units.encode_ordinary(part), "<u4").tobytes() for part in pieces(text)])
 

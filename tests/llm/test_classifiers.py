@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 quality_net = pytest.importorskip("tessellar.llm.quality_net")
 from tessellar.llm import pitman_yor, tokens, toxicity  # noqa: E402
@@ -106,3 +107,62 @@ def test_restaurants_seat_as_many_as_the_rule_expects():
             simple.append(tables)
         got = pitman_yor.seat(np.full(4000, customers), np.full(4000, opens), 0.5, lambda i: 1 - rng.random(4000))
         assert got.mean() == pytest.approx(np.mean(simple), rel=0.06)
+
+
+def test_packing_routes_by_vocabulary(spark, monkeypatch):
+    from tessellar.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    rng = random.Random(12)
+    topics = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(150)] for _ in range(4)]
+    rows = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(200))) for i in range(200)] + [(500, rows_text) for rows_text in ["the very same row"] * 150]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect()
+    shards = {}
+    for r in pieces:
+        shards.setdefault(r.sequence_id >> 32, []).append(r)
+    # documents of one topic meet, equal rows are cut into several shards, and nothing is lost
+    mixed = sum(len({r.doc_id % 4 for r in s if r.doc_id < 200}) > 1 for s in shards.values())
+    assert mixed <= len(shards) // 3 and sum(any(r.doc_id == 500 for r in s) for s in shards.values()) >= 3
+    assert sum(r.length for r in pieces if r.doc_id == 500) == 150 * next(r.doc_tokens for r in pieces if r.doc_id == 500)
+    assert max(len({(r.doc_id, r.start) for r in s}) for s in shards.values()) < 200
+
+
+def test_tree_halves_its_sample():
+    from tessellar.llm import packing
+
+    sample = np.random.default_rng(1).standard_normal((1000, packing.DIMS)).astype(np.float32)
+    sizes = np.bincount(packing.leaves(sample, packing.tree(sample, 4)), minlength=16)
+    assert sizes.min() >= 60 and sizes.max() <= 65 and packing.leaves(sample[:0], packing.tree(sample, 2)).size == 0
+    same = np.ones((50, packing.DIMS), np.float32)
+    assert len(set(packing.leaves(same, packing.tree(same, 3)))) == 1
+
+
+def test_a_source_full_of_junk_does_not_set_its_own_limit(spark):
+    from tessellar.llm import quality_rules
+
+    rng = random.Random(21)
+    text = lambda junk: " ".join("w%d" % rng.randrange(10**6) + (" ###" if junk else "") for _ in range(80))
+    rows = [(i, text(False), "en", "plain") for i in range(600)] + [(1000 + i, text(i % 10 < 7), "en", "junk") for i in range(150)]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in range(600)) and all(kept[1000 + i] == (i % 10 >= 7) for i in range(150))
+
+
+def test_words_of_many_blocks_and_buckets(spark, monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    from tessellar.llm import bpe
+
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(bpe, "BUCKET_CHARS", 30_000)
+    monkeypatch.setattr(bpe, "WORDS_A_ROW", 100)
+    monkeypatch.setattr(bpe, "WORD_ROWS", 3)
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit("mine").alias("_bpe_block"), F.lit("also mine").alias("_bpe_0"))
+    odd = spark.createDataFrame([(-1, None, "mine", "also mine"), (-2, "", "mine", "also mine"), (-3, "x" * 300 + " " + "é" * 200, "mine", "also mine"), (-3, " lead", "mine", "also mine")], docs.schema)
+    every = docs.unionByName(odd).repartition(3)
+    rows = bpe.decode(bpe.encode(every, ranks, P.PATTERN), ranks).collect()
+    assert len(rows) == docs.count() + 4 and all(r["_bpe_block"] == "mine" and r["_bpe_0"] == "also mine" for r in rows)
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == r.id_list == own.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")

@@ -288,6 +288,13 @@ def test_pitman_yor_base_and_gain(spark, docs, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_pitman_yor_perplexity(spark):
+    rows = [(i, "the cat sat on the mat " * (i % 3 + 1)) for i in range(30)] + [(40, None), (41, "quite unheard words")]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) and r.perplexity > 1 for r in got.values())
+    assert got[41].perplexity > got[2].perplexity
+
+
 def test_pitman_yor_weighs_word_order(spark):
     rng = random.Random(16)
     pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]

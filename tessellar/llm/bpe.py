@@ -1,11 +1,11 @@
 """Byte-level BPE by Spark higher-order functions: ranked merges are folded over the bytes of distinct words.
 
-A task reads its texts once and passes them on. Before a text go the words in it that the task has not met
-yet, as arrays of bytes; Spark's higher-order functions fold the ranked merges over each of those arrays, with the
-rank map as a constant; the step behind them, in the same task and without any shuffle, keeps the folded words
-and assembles each text's ids. Words are never gathered across tasks, so no group can grow hot, and what a task
-remembers is bounded: after MOST_WORDS words both steps start afresh. Decoding concatenates the ids' binary pieces
-with Spark functions, from a literal table of them.
+Texts are cut into words once: a block of texts becomes sequences of word numbers and a list of its distinct words, dealt to
+buckets by a hash of the word. Those are written, in buckets by block. A bucket's words, from all blocks, are folded once for the whole
+corpus: Spark's higher-order functions merge arrays of byte values with the rank map as a constant. The ids go
+back to the blocks that hold the words and take the words' places in the texts. What is exchanged is one list a block and bucket, so
+a word in every text is one entry a block, and buckets grow in number with the corpus, not in size. Decoding concatenates the ids'
+binary pieces with Spark functions, from a literal table of them.
 
 Null texts count as empty and give no ids. Repeated rows and ids are encoded row by row. Invalid input does not
 exist for a byte-level vocabulary. Other columns pass through; `ids`, `id_list` (and `decoded`) replace columns so named.
@@ -16,26 +16,34 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import materialize, small_batches
 
-MOST_WORDS = 100_000
+#: Characters of a block of texts, and for each bucket of words.
+BLOCK_CHARS, BUCKET_CHARS = 32_000_000, 8_000_000
 #: Longer words are merged with a heap instead of the fold, whose work grows with the square of the length.
 LONG_WORD = 96
-WORDS_A_ROW = 4096
+WORDS_A_ROW, WORD_ROWS = 4096, 64
 #: Texts handled at once.
 SLICE = 256
 #: A pair can take two places in the rank map: (pair * factor div 2**24) % _SLOTS for each factor.
 _SLOTS = 524_287
 _FACTORS = (1_041_204_193, 878_350_721)
+#: Stands for the rank of a pair that no merge has.
+_NO_PAIR = 1 << 20
 _BREAK = re.compile(r" (?:\s|$)")
 _UNIT = re.compile(r" (?=\S)")
 
@@ -95,130 +103,216 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def units(text: str) -> list[str]:
     """Cut before each space that precedes a non-space: no match of the pattern spans such a place."""
     return _UNIT.split(text) if _BREAK.search(text) else text.split(" ")
 
 
-def _announce(pattern: str, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Before each batch of texts, rows with the bytes of words that are new to this task; an empty word: forget all."""
+def _numbers() -> dict[str, int]:
+    """A dictionary that gives each new key the next number."""
+    return defaultdict(count().__next__)
+
+
+class _Block:
+    """The texts of a block as sequences of word numbers, and its distinct words by bucket."""
+
+    def __init__(self, find: Callable[[str], list[str]]):
+        self.find, self.heads, self.tails, self.of, self.chars = find, _numbers(), _numbers(), [], 0
+
+    def add(self, text: str | None) -> None:
+        if not text:
+            self.of.append((-1, np.zeros(0, np.int32)))
+            return
+        first, *rest = units(text)
+        self.of.append((self.heads[first], np.fromiter(map(self.tails.__getitem__, rest), np.int32, len(rest))))
+        self.chars += len(text)
+
+    def cut(self, buckets: int) -> tuple[list[np.ndarray], np.ndarray, list[tuple[int, list[bytes]]]]:
+        """The texts as numbers of words, the bucket of each word by number, and the words of each bucket in the order of their numbers."""
+        number, n = _numbers(), len(self.heads)
+        heads = [self.find(u) for u in self.heads]
+        # units joined are cut where they join, so that one search finds the words of all
+        stops = np.cumsum(np.fromiter(map(len, self.tails), np.int64, len(self.tails)) + 1)
+        joined = " " + " ".join(self.tails) if self.tails else ""
+        self.heads, self.tails = _numbers(), _numbers()
+        words = self.find(joined)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        size = np.concatenate([np.fromiter(map(len, heads), np.int64, n), np.diff(np.searchsorted(ends, stops, "right"), prepend=0)])
+        words = [*chain.from_iterable(heads), *words]
+        flat = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        words = [w.encode() for w in number]
+        del number
+        start, sequences, times = np.cumsum(size) - size, [], np.zeros(len(words), np.int64)
+        for i in range(0, len(self.of), SLICE):
+            for head, rest in self.of[i : i + SLICE]:
+                at = np.concatenate([[head], rest + n]) if head >= 0 else rest
+                sequences.append(_gather(flat, start[at], size[at]))
+            times += np.bincount(np.concatenate(sequences[i:]), minlength=len(words))
+        self.of.clear()
+        # frequent words get small numbers, which take less room
+        order = np.argsort(-times, kind="stable")
+        number_of = np.empty(len(words), np.int32)
+        number_of[order] = np.arange(len(words), dtype=np.int32)
+        words = [words[i] for i in order.tolist()]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+        lists = [(int(bucket[by_bucket[lo]]), [words[i] for i in by_bucket[lo:hi].tolist()]) for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)], strict=True)]
+        for i, x in enumerate(sequences):
+            sequences[i] = number_of[x]
+        return sequences, bucket, lists
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, the low ones first: high planes are mostly zeros."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that begin at `start` and have `size` entries, one behind the other."""
+    if not len(size):
+        return flat[:0]
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+
+
+def _cut(pattern: str, text_at: int, keep: list[int], buckets: int, schema: T.StructType) -> Callable:
+    """Blocks of texts to rows of documents and rows of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        chunks: set[str] = set()
-        known: set[str] = set()
-        for batch in _slices(batches):
-            texts = batch.column(text_at).to_pylist()
-            fresh: dict[str, None] = {}
-            if len(known) > MOST_WORDS:
-                known.clear()
-                chunks.clear()
-                fresh[""] = None
-            for text in texts:
-                if not text:
-                    continue
-                first, *rest = units(text)
-                words = find(first)
-                for unit in set(rest) - chunks:
-                    chunks.add(unit)
-                    words += find(" " + unit)
-                for word in words:
-                    if word not in known:
-                        known.add(word)
-                        fresh[word] = None
-            encoded = [w.encode() for w in fresh]
-            short = [w for w in encoded if len(w) <= LONG_WORD]
-            for at in range(0, len(short), WORDS_A_ROW):
-                part = short[at : at + WORDS_A_ROW]
-                flat = pa.array(np.frombuffer(b"".join(part), np.uint8).astype(np.int32))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32))
-                row = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.ListArray.from_arrays(ends, flat))
-                nulls = [pa.nulls(1, f.type) for f in batch.schema]
-                yield pa.RecordBatch.from_arrays([*nulls, row], names=[*batch.schema.names, "_words"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.list_(pa.list_(pa.int32())))], names=[*batch.schema.names, "_words"])
+        task, blocks = TaskContext.get().partitionId(), 0
+        block, held = _Block(find), []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            name = (task << 24) + blocks
+            sequences, bucket, words = block.cut(buckets)
+            at = 0
+            for batch in held:
+                n = batch.num_rows
+                packed = pa.array([_packed(x) for x in sequences[at : at + n]], pa.binary())
+                at += n
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.binary())), packed], names=schema.names)
+            words.append((None, [_packed(bucket)]))  # stays with the texts
+            for lo in range(0, len(words), WORD_ROWS):
+                part = words[lo : lo + WORD_ROWS]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, f) for f in kinds], pa.array(np.full(n, name)), pa.array([x for x, _ in part], pa.int32()), pa.array([w for _, w in part], pa.list_(pa.binary())), pa.nulls(n, pa.binary())], names=schema.names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in keep]
+            for text in batch.column(text_at).to_pylist():
+                block.add(text)
+            held.append(batch.select(keep))
+            if block.chars >= BLOCK_CHARS:
+                yield from rows()
+                block, held, blocks = _Block(find), [], blocks + 1
+        if held:
+            yield from rows()
 
     return run
 
 
-def _assemble(pattern: str, text_at: int, ranks: dict[bytes, int], keep: list[int], names: list[str]) -> Callable:
-    """Texts to packed ids, with the words that came before them in the same task."""
+def _short(rows: pa.Table) -> list[list[bytes]]:
+    """The words of a bucket, once each and in order, some thousands a part; long words are left out."""
+    words = sorted({w for part in rows.column("_bpe_words").to_pylist() for w in part if len(w) <= LONG_WORD})
+    return [words[i : i + WORDS_A_ROW] for i in range(0, len(words), WORDS_A_ROW)]
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """The parts as arrays of words, arrays of byte values."""
+    parts, lists = _short(rows), [pa.array([], pa.list_(pa.int32()))]
+    for part in parts:
+        ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), np.uint8).astype(np.int32))))
+    bucket = rows.column("_bpe_bucket")[0].as_py()
+    ends = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+    letters = pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))
+    return pa.table({"_bpe_bucket": pa.array([bucket] * len(parts), pa.int32()), "_bpe_part": pa.array(range(len(parts)), pa.int32()), "_bpe_letters": letters})
+
+
+def _spread(ranks: dict[bytes, int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The folded words of a bucket back to the blocks that hold them, in the order of the block's words."""
+
+    def run(asked: pa.Table, folded: pa.Table) -> pa.Table:
+        ids, found, at = [np.zeros(0, "<u4")], {}, 0
+        merged = dict(zip(folded.column("_bpe_part").to_pylist(), folded.column("_bpe_ids"), strict=True))
+        for i, part in enumerate(_short(asked)):
+            ids.append(merged[i]["flat"].values.to_numpy().astype("<u4"))
+            for word, n in zip(part, merged[i]["sizes"].values.to_pylist(), strict=True):
+                found[word] = (at, n)
+                at += n
+        for word in found.keys() & ranks.keys():  # a whole word that has a rank is one id
+            ids.append(np.array([ranks[word]], "<u4"))
+            found[word] = (at, 1)
+            at += 1
+
+        def miss(word: bytes) -> tuple[int, int]:
+            """A long word, merged with a heap."""
+            nonlocal at
+            ids.append(np.array(merge(word, ranks), "<u4"))
+            found[word] = (at, len(ids[-1]))
+            at += len(ids[-1])
+            return found[word]
+
+        out = []
+        for words in asked.column("_bpe_words").to_pylist():
+            out.append(np.array([found.get(w) or miss(w) for w in words], np.int64).reshape(-1, 2))
+        flat = np.concatenate(ids)
+        packed = [_packed(_gather(flat, x[:, 0], x[:, 1])) for x in out]
+        return pa.table({"_bpe_block": asked.column("_bpe_block"), "_bpe_bucket": asked.column("_bpe_bucket"), "_bpe_sizes": pa.array([_packed(x[:, 1]) for x in out], pa.binary()), "_bpe_flat": pa.array(packed, pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        folded: dict[str, bytes] = {}
-        chunks: dict[str, bytes] = {}
-
-        def whole(words: list[str]) -> bytes:
-            return b"".join([folded.get(w) or np.array(merge(w.encode(), ranks), "<u4").tobytes() for w in words])
-
-        def one(text: str | None) -> bytes:
-            if not text:
-                return b""
-            first, *rest = units(text)
-            out = [whole(find(first))]
-            for unit in rest:
-                got = chunks.get(unit)
-                if got is None:
-                    got = chunks[unit] = whole(find(" " + unit))
-                out.append(got)
-            return b"".join(out)
-
-        for batch in _slices(batches):
-            words, merged = batch.column(batch.schema.get_field_index("_words")), batch.column(batch.schema.get_field_index("_ids"))
-            is_doc = np.asarray(words.is_null())
-            edges = [0, *(np.flatnonzero(np.diff(is_doc)) + 1).tolist(), len(is_doc)]
-            rows, ids = [], []
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo == hi:
-                    continue
-                if is_doc[lo]:
-                    part = batch.slice(lo, hi - lo)
-                    rows.append(part.select(keep))
-                    ids += map(one, part.column(text_at).to_pylist())
-                    continue
-                w, m = words.slice(lo, hi - lo).flatten(), merged.slice(lo, hi - lo).flatten()
-                letters, ends = w.flatten().to_numpy().astype(np.uint8).tobytes(), np.cumsum(w.value_lengths().to_numpy())
-                values, stops = m.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(m.value_lengths().to_numpy()) * 4
-                at = start = 0
-                for end, stop in zip(ends.tolist(), stops.tolist(), strict=True):
-                    if at == end:
-                        folded.clear()
-                        chunks.clear()
-                    else:
-                        word = letters[at:end]
-                        whole_id = ranks.get(word)
-                        folded[word.decode()] = values[start:stop] if whole_id is None else whole_id.to_bytes(4, "little")
-                    at, start = end, stop
-            if rows:
-                out = pa.Table.from_batches(rows).combine_chunks().to_batches(len(ids))[0]
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                ends = pa.array(np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=[*names, "ids", "id_list"])
+    return run
+
+
+def _assemble(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's sequences of word numbers to ids."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        apart = texts.column("_bpe_words").is_valid()
+        bucket = _unpacked(texts.filter(apart).column("_bpe_words")[0][0].as_py())
+        texts, found = texts.filter(pc.invert(apart)), found.sort_by("_bpe_bucket")
+        join = lambda k: np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, found.column(k).to_pylist())])
+        listed, flat = join("_bpe_sizes").astype(np.int64), join("_bpe_flat")
+        # what is listed by bucket and number, by number
+        place = np.argsort(bucket, kind="stable")
+        size, start = np.empty_like(listed), np.empty_like(listed)
+        size[place], start[place] = listed, np.cumsum(listed) - listed
+        out = []
+        for batch in texts.combine_chunks().to_batches(SLICE):
+            ids = []
+            for x in batch.column("_bpe_seq"):
+                at = _unpacked(x.as_py())
+                ids.append(_gather(flat, start[at], size[at]))
+            ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([flat[:0], *ids]).view("<i4")))
+            out.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([x.tobytes() for x in ids], pa.binary()), lists], names=[*names, "ids", "id_list"]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def fold(word: str, table: str, byte_ids: str) -> str:
+def fold(word: str, table: str, letters: str, pairs: str) -> str:
     """SQL for the ids of a word, an array of byte values: one merge of the lowest rank, leftmost first, in each step.
 
-    The state holds the ids and the ranks of the pairs between them, so that a step looks up only the two pairs a merge makes.
+    The state is an array of numbers: the rank of the pair that an id makes with the next one, times 65536, plus the id. Its smallest
+    element is the next merge, and a step looks up only the two pairs that the merge makes. `letters` has the ids of single bytes, `pairs`
+    the ranks of two.
     """
+    none = f"{_NO_PAIR}L"
     slot = lambda f: f"{table}[cast((k * {f} div 16777216) % {_SLOTS} as int)]"
-    hit = lambda f: f"transform(array({slot(f)}), e -> case when e div 65536 = k then cast(e % 65536 as int) end)[0]"
-    rank = lambda x, y: f"transform(array(cast({x} as bigint) * 65536 + {y}), k -> coalesce({hit(_FACTORS[0])}, {hit(_FACTORS[1])}))[0]"
-    none = "cast(array() as array<int>)"
-    left = f"case when p > 1 then concat(slice(a.r, 1, p - 2), array({rank('a.s[p - 2]', 'b')})) else {none} end"
-    right = f"case when p < size(a.r) then concat(array({rank('b', 'a.s[p + 1]')}), slice(a.r, p + 2, size(a.r))) else {none} end"
-    merged = f"named_struct('s', concat(slice(a.s, 1, p - 1), array(b), slice(a.s, p + 2, size(a.s))), 'r', concat({left}, {right}))"
-    step = f"transform(array(array_min(a.r)), b -> case when b is null then a else transform(array(cast(array_position(a.r, b) as int)), p -> {merged})[0] end)[0]"
-    first = f"transform(array(transform({word}, x -> {byte_ids}[x])), s -> named_struct('s', s, 'r', case when size(s) > 1 then transform(sequence(0, size(s) - 2), i -> {rank('s[i]', 's[i + 1]')}) else {none} end))[0]"
-    return f"aggregate(case when size({word}) > 1 then sequence(2, size({word})) else {none} end, {first}, (a, j) -> {step}, a -> a.s)"
+    hit = lambda f: f"transform(array({slot(f)}), e -> case when e div 65536 = k then e % 65536 end)[0]"
+    element = lambda one, two: f"transform(array(({one}) * 65536 + {two}), k -> coalesce({hit(_FACTORS[0])}, {hit(_FACTORS[1])}, {none}) * 65536 + k div 65536)[0]"
+    first = f"transform({word}, (x, i) -> case when i < size({word}) - 1 then coalesce(cast({pairs}[x * 256 + {word}[i + 1]] as bigint), {none}) else {none} end * 65536 + {letters}[x])"
+    merged = f"case when p + 1 < size(v) then {element('b', 'v[p + 1] % 65536')} else {none} * 65536 + b end"
+    inner = f"concat(slice(v, 1, p - 2), array({element('v[p - 2] % 65536', 'b')}, {merged}), slice(v, p + 2, size(v)))"
+    put = f"case when p > 1 then {inner} else concat(array({merged}), slice(v, 3, size(v))) end"
+    step = f"transform(array(array_min(v)), m -> case when m >= {none} * 65536 then v else transform(array(cast(array_position(v, m) as int)), p -> transform(array(m div 65536), b -> {put})[0])[0] end)[0]"
+    return f"transform(aggregate(sequence(1, size({word})), {first}, (v, j) -> {step}), e -> cast(e % 65536 as int))"
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -226,22 +320,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("ids", "id_list")
-    constants = pa.table(
-        {
-            "slots": pa.array([pair_table(ranks).tolist()], pa.list_(pa.int64())),
-            "letters": pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32())),
-        }
-    )
-    view = spark.createDataFrame(constants)
+    fields = [T.StructField(f"_bpe_{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)]
     at = docs.columns.index(text)
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    announced = docs.mapInArrow(_announce(pattern, at), T.StructType([*fields, T.StructField("_words", T.ArrayType(T.ArrayType(T.IntegerType())))]))
-    # the map joins only the rows that hold words: as a constant of the plan, evaluated once
-    have = F.col("_words").isNotNull()
-    announced = announced.withColumns({"_slots": F.when(have, view.select("slots").scalar()), "_letters": F.when(have, view.select("letters").scalar())})
-    merged = announced.withColumn("_ids", F.expr(f"transform(_words, w -> {fold('w', '_slots', '_letters')})")).drop("_slots", "_letters")
     keep = [i for i in range(len(fields)) if keep_text or i != at]
-    return merged.mapInArrow(_assemble(pattern, at, ranks, keep, [fields[i].name for i in keep]), T.StructType([*[fields[i] for i in keep], T.StructField("ids", T.BinaryType()), T.StructField("id_list", T.ArrayType(T.IntegerType()))]))
+    names = [f"_bpe_{i}" for i in keep]
+    total = docs.agg(F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET_CHARS))
+    long, binary = T.LongType(), T.BinaryType()
+    schema = T.StructType([*[fields[i] for i in keep], T.StructField("_bpe_block", long), T.StructField("_bpe_bucket", T.IntegerType()), T.StructField("_bpe_words", T.ArrayType(binary)), T.StructField("_bpe_seq", binary)])
+    cut = docs.mapInArrow(_cut(pattern, at, keep, buckets, schema), schema)
+    # the blocks' texts lie in buckets by block, so that they need no exchange when their words come back
+    cut = materialize(cut, "bpe", bucketed=("_bpe_block", max(1, -(-total // BLOCK_CHARS))), compression="zstd")
+    # so many partitions as asked for, however small the exchange is: the fold is what takes the time
+    words = cut.filter("_bpe_bucket is not null").select("_bpe_block", "_bpe_bucket", "_bpe_words").repartition(2 * buckets, "_bpe_bucket")
+    distinct = words.groupBy("_bpe_bucket").applyInArrow(_distinct, "_bpe_bucket int, _bpe_part int, _bpe_letters array<array<int>>")
+    ints = lambda x: pa.array([x], pa.list_(pa.int32()))
+    constants = {"slots": pa.array([pair_table(ranks).tolist()], pa.list_(pa.int64())), "letters": ints([ranks[bytes([i])] for i in range(256)]), "pairs": ints([ranks.get(bytes([i >> 8, i & 255])) for i in range(65536)])}
+    view = spark.createDataFrame(pa.table(constants))
+    folded = distinct.withColumns({f"_{k}": view.select(k).scalar() for k in constants})
+    ids = f"transform(_bpe_letters, w -> {fold('w', '_slots', '_letters', '_pairs')})"
+    flat = f"transform(array({ids}), m -> named_struct('flat', flatten(m), 'sizes', transform(m, x -> cast(size(x) as tinyint))))[0]"
+    folded = folded.select("_bpe_bucket", "_bpe_part", F.expr(flat).alias("_bpe_ids"))
+    spread = words.groupBy("_bpe_bucket").cogroup(folded.groupBy("_bpe_bucket")).applyInArrow(_spread(ranks), "_bpe_block long, _bpe_bucket int, _bpe_sizes binary, _bpe_flat binary")
+    out = T.StructType([*[fields[i] for i in keep], T.StructField("ids", binary), T.StructField("id_list", T.ArrayType(T.IntegerType()))])
+    texts = cut.filter("_bpe_bucket is null").select(*names, "_bpe_block", "_bpe_words", "_bpe_seq")
+    encoded = texts.groupBy("_bpe_block").cogroup(spread.groupBy("_bpe_block")).applyInArrow(_assemble(names), out)
+    return encoded.withColumnsRenamed({f"_bpe_{i}": docs.columns[i] for i in keep})
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "id_list") -> DataFrame:

@@ -136,6 +136,7 @@ class _Block:
         joined = " " + " ".join(self.tails) if self.tails else ""
         self.heads, self.tails = _numbers(), _numbers()
         words = self.find(joined)
+        del joined
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         size = np.concatenate([np.fromiter(map(len, heads), np.int64, n), np.diff(np.searchsorted(ends, stops, "right"), prepend=0)])
         words = [*chain.from_iterable(heads), *words]
@@ -219,7 +220,9 @@ def _cut(pattern: str, text_at: int, keep: list[int], buckets: int, schema: T.St
 
 def _short(rows: pa.Table) -> list[list[bytes]]:
     """The words of a bucket, once each and in order, some thousands a part; long words are left out."""
-    words = sorted({w for part in rows.column("_bpe_words").to_pylist() for w in part if len(w) <= LONG_WORD})
+    lists = rows.column("_bpe_words").to_pylist()
+    order = np.argsort(rows.column("_bpe_block").to_numpy()).tolist()  # rows come in any order
+    words = [w for w in dict.fromkeys(chain.from_iterable(lists[i] for i in order)) if len(w) <= LONG_WORD]
     return [words[i : i + WORDS_A_ROW] for i in range(0, len(words), WORDS_A_ROW)]
 
 
@@ -239,32 +242,27 @@ def _spread(ranks: dict[bytes, int]) -> Callable[[pa.Table, pa.Table], pa.Table]
     """The folded words of a bucket back to the blocks that hold them, in the order of the block's words."""
 
     def run(asked: pa.Table, folded: pa.Table) -> pa.Table:
-        ids, found, at = [np.zeros(0, "<u4")], {}, 0
+        number, ids, sizes = {}, [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         merged = dict(zip(folded.column("_bpe_part").to_pylist(), folded.column("_bpe_ids"), strict=True))
         for i, part in enumerate(_short(asked)):
+            number.update(zip(part, range(len(number), len(number) + len(part)), strict=True))
             ids.append(merged[i]["flat"].values.to_numpy().astype("<u4"))
-            for word, n in zip(part, merged[i]["sizes"].values.to_pylist(), strict=True):
-                found[word] = (at, n)
-                at += n
-        for word in found.keys() & ranks.keys():  # a whole word that has a rank is one id
-            ids.append(np.array([ranks[word]], "<u4"))
-            found[word] = (at, 1)
-            at += 1
-
-        def miss(word: bytes) -> tuple[int, int]:
-            """A long word, merged with a heap."""
-            nonlocal at
-            ids.append(np.array(merge(word, ranks), "<u4"))
-            found[word] = (at, len(ids[-1]))
-            at += len(ids[-1])
-            return found[word]
-
-        out = []
-        for words in asked.column("_bpe_words").to_pylist():
-            out.append(np.array([found.get(w) or miss(w) for w in words], np.int64).reshape(-1, 2))
-        flat = np.concatenate(ids)
-        packed = [_packed(_gather(flat, x[:, 0], x[:, 1])) for x in out]
-        return pa.table({"_bpe_block": asked.column("_bpe_block"), "_bpe_bucket": asked.column("_bpe_bucket"), "_bpe_sizes": pa.array([_packed(x[:, 1]) for x in out], pa.binary()), "_bpe_flat": pa.array(packed, pa.binary())})
+            sizes.append(merged[i]["sizes"].values.to_numpy().astype(np.int64))
+
+        lists = asked.column("_bpe_words").to_pylist()
+        # a whole word that has a rank is one id
+        others = {w: [ranks[w]] for w in number if w in ranks} | {w: merge(w, ranks) for words in lists for w in words if len(w) > LONG_WORD}
+        number.update(zip(others, range(len(number), len(number) + len(others)), strict=True))
+        ids += [np.array(x, "<u4") for x in others.values()]
+        sizes.append(np.fromiter(map(len, others.values()), np.int64, len(others)))
+        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        start = np.cumsum(size) - size
+        out, packed = [], []
+        for words in lists:
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            out.append(size[at])
+            packed.append(_packed(_gather(flat, start[at], size[at])))
+        return pa.table({"_bpe_block": asked.column("_bpe_block"), "_bpe_bucket": asked.column("_bpe_bucket"), "_bpe_sizes": pa.array(map(_packed, out), pa.binary()), "_bpe_flat": pa.array(packed, pa.binary())})
 
     return run
 

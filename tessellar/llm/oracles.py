@@ -34,3 +34,13 @@ e as (select a, b from l union all select b, a from l),
 r as (select doc_id, doc_id as c from documents union select r.doc_id, e.b from r join e on e.a = r.c)
 select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(r.c) as component_id from documents d join r using (doc_id) left join n using (doc_id) group by d.doc_id
 """
+
+OP12 = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""

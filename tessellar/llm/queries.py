@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert_ann, jaccard_join, oracles, packing, pii, pitman_yor, quality_net, tokens, toxicity
+from . import bpe, hard_negatives, hilbert_ann, jaccard_join, oracles, packing, pii, pitman_yor, quality_net, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -69,7 +69,13 @@ def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 QUERIES = {
+    "op12_hard_negatives": op12_hard_negatives,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_pii_boosting": op4_pii_boosting,
@@ -79,4 +85,4 @@ QUERIES = {
     "op1_lexical_packing": op1_lexical_packing,
     "op5_token_counts": op5_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {"op3_jaccard_join": oracles.OP3, "op10_quality_rules": oracles.OP10}
+ORACLES: dict[str, str] = {"op3_jaccard_join": oracles.OP3, "op10_quality_rules": oracles.OP10, "op12_hard_negatives": oracles.OP12}

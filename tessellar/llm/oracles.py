@@ -44,3 +44,13 @@ n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number
   from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
 select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5
 """
+
+OP11 = r"""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from t)),
+r as (select doc_id, i from g qualify row_number() over (partition by g order by doc_id, i) > 1),
+c as (select distinct doc_id, i + k as i from r, (select unnest(range(20)) as k)),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as s from x anti join c using (doc_id, i) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from t left join kept using (doc_id)
+"""

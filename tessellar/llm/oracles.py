@@ -54,3 +54,19 @@ x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t
 kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as s from x anti join c using (doc_id, i) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from t left join kept using (doc_id)
 """
+
+OP13 = r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from t),
+g as (select lang, s, array_to_string(w[i:i + s - 1], ' ') as phrase from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as i from w, (values (1), (2), (3)) as v(s))),
+f as (select lang, s, phrase, count(*) as a from g group by all),
+n as (select lang, sum(a) as n from f where s = 1 group by lang),
+c as (select lang, s, phrase, a, string_split(phrase, ' ') as w from f where s > 1 and a >= 10),
+k as (select *, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest from (select *, unnest(range(1, s)) as k from c)),
+x as (select k.lang, k.phrase, k.s, k.a, k.k, l.a as l, r.a as r, cast(cast(1000000 as hugeint) * k.a * k.a // (cast(l.a as hugeint) * r.a) as bigint) as score
+  from k join f l on l.lang = k.lang and l.phrase = k.first and l.s = k.k join f r on r.lang = k.lang and r.phrase = k.rest and r.s = k.s - k.k),
+m as (select * from x qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+h as (select lang, phrase, max(a) as longer from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase from c where s = 3) group by all),
+d as (select m.*, row_number() over (partition by lang order by score desc, m.a desc, phrase) as rank from m left join h using (lang, phrase) where longer is null or 100 * longer < 50 * m.a)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from d join n using (lang) where rank <= 2000
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hard_negatives, hilbert_ann, jaccard_join, oracles, packing, pii, pitman_yor, quality_net, repeats, tokens, toxicity
+from . import bpe, collocations, hard_negatives, hilbert_ann, jaccard_join, oracles, packing, pii, pitman_yor, quality_net, repeats, tokens, toxicity
 from . import quality_rules as qr
 from .common import fold, materialize, table
 
@@ -79,7 +79,12 @@ def op11_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_collocations": op13_collocations,
     "op11_super_kmers": op11_super_kmers,
     "op12_hard_negatives": op12_hard_negatives,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
@@ -91,4 +96,4 @@ QUERIES = {
     "op1_lexical_packing": op1_lexical_packing,
     "op5_token_counts": op5_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe, "op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {"op3_jaccard_join": oracles.OP3, "op10_quality_rules": oracles.OP10, "op11_super_kmers": oracles.OP11, "op12_hard_negatives": oracles.OP12}
+ORACLES: dict[str, str] = {"op3_jaccard_join": oracles.OP3, "op10_quality_rules": oracles.OP10, "op11_super_kmers": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_collocations": oracles.OP13}

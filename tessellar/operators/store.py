@@ -1,26 +1,28 @@
-"""Tables of chunks and records in files: scoped writes and reads, replacement by predicate, keys, append-only logs.
-
-A table is a Parquet folder. A change writes the table's next version beside it and then points to it, so that a job that
-fails halfway leaves the version before; readers name the version that they opened.
-"""
+"""Tables of chunks and records: scoped writes and reads, keys, append-only logs. See sources.versioned for how a table changes."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import safety
+from ..sources.shared import materialize
+from ..sources.versioned import KeyRefused, Table
 from . import curate
 
+__all__ = ["KeyRefused", "Table"]
+
 CHUNK = "chunk_id string, text string, title string, url string, language string, source_kind string, session_id string, doc_name string, page int, section string"
+#: Chunks as they are stored.
+STORED = CHUNK + ", embedding array<float>"
 SHARED, OWN = "shared", "user_doc"
 CUSTOMERS = "customer_id string, msisdn string, full_name string, plan string, balance double, bill_due_date string"
 PERMISSIONS = "session_id string, customer_id string, scope string"
 TICKETS = "ticket_id string, customer_id string, session_id string, subject string, body string, status string, created_at string"
 AUDIT = "audit_id string, session_id string, intent string, allowed int, reason string, created_at string"
+SCHEMAS = {"customers": CUSTOMERS, "permissions": PERMISSIONS, "tickets": TICKETS, "action_audit": AUDIT}
 #: The columns that tell a table's rows apart; each key is unique by itself.
 KEYS = {"chunks": [["chunk_id"]], "customers": [["customer_id"], ["msisdn"]], "permissions": [["session_id", "customer_id", "scope"]], "tickets": [["ticket_id"]], "action_audit": [["audit_id"]]}
 
@@ -63,84 +65,66 @@ def flattened(chunks: DataFrame, distance: Column | None = None) -> DataFrame:
     return filled.withColumns({"score": 1 - distance, "dense_score": 1 - distance, "dense_rank": F.when(distance.isNotNull(), rank)})
 
 
-@dataclass(frozen=True)
-class Table:
-    """A versioned Parquet table."""
-
-    spark: SparkSession
-    path: str
-    schema: str
-
-    def _current(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/_current")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
-
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def read(self) -> DataFrame:
-        version = self._current()
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+def named(spark: SparkSession, path: str, name: str) -> Table:
+    """One of the tables of actions (customers, permissions, tickets, action_audit) with its keys enforced."""
+    key, *unique = map(tuple, KEYS[name])
+    return Table(spark, f"{path}/{name}", SCHEMAS[name], key, tuple(unique))
 
-    def replace(self, rows: DataFrame) -> None:
-        """Write a whole new version and point to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select(*self.read().columns).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
 
-    def reset(self) -> None:
-        self.replace(self.spark.createDataFrame([], self.schema))
-
-    def insert_absent(self, rows: DataFrame, keys: list[str]) -> None:
-        """Rows whose key is new; held ones stay."""
-        self.replace(curate.insert_absent(self.read(), rows.select(*self.read().columns), keys))
+class Chunks:
+    """Shared chunks and sessions' own chunks with their vectors, in two tables that no read or write mixes.
 
+    embed: text to vector; without it, and where rows bring no `embedding`, vectors are null. A session's chunks lie in one bucket
+    of files, so that its reads and deletes leave the other buckets alone.
+    """
 
-class Chunks:
-    """Shared chunks and sessions' own chunks, in two tables that no read or write mixes."""
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None):
+        self.shared, self.own = Table(spark, f"{path}/shared", STORED, ("chunk_id",)), Table(spark, f"{path}/own", STORED, ("session_id", "chunk_id"))
+        self.embed = embed
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.shared, self.own = Table(spark, f"{path}/shared", CHUNK), Table(spark, f"{path}/own", CHUNK)
+    def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        if "embedding" not in rows.columns:
+            rows = rows.withColumn("embedding", (F.lit(None) if self.embed is None else self.embed(F.col("text"))).cast("array<float>"))
+        last = rows.dropDuplicates(["session_id", "chunk_id"])
+        return last.select(*self.shared.columns)
 
-    def add_shared(self, rows: DataFrame) -> None:
+    def add_shared(self, rows: DataFrame) -> int:
         refuse(rows, F.col("source_kind") != SHARED, "only shared chunks belong in the shared table")
-        self._upsert(self.shared, rows)
+        return self.shared.upsert(self._with_vectors(rows).dropDuplicates(["chunk_id"]))
 
-    def add_own(self, rows: DataFrame, session_id: str) -> None:
+    def add_own(self, rows: DataFrame, session_id: str) -> int:
         need_session(session_id)
         refuse(rows, F.col("session_id") != session_id, "a chunk belongs to another session than the one that writes it")
         refuse(rows, F.col("source_kind") != OWN, "a session holds uploaded documents only")
-        self._upsert(self.own, rows)
+        return self.own.upsert(self._with_vectors(rows))
 
-    def _upsert(self, table: Table, rows: DataFrame) -> None:
-        held = table.read().withColumn("_v", F.lit(0))
-        table.replace(curate.upsert(held, rows.select(*table.read().columns).withColumn("_v", F.lit(1)), "chunk_id", "_v").drop("_v"))
+    def rows_of_session(self, session_id: str) -> DataFrame:
+        """One session's stored rows, vectors included."""
+        return self.own.read(first=need_session(session_id))
 
     def of_session(self, session_id: str) -> DataFrame:
         """One session's chunks as hits without a score."""
-        return flattened(self.own.read().filter(F.col("session_id") == need_session(session_id)))
+        return flattened(self.rows_of_session(session_id).drop("embedding"))
 
     def by_ids(self, ids: DataFrame) -> DataFrame:
         """The shared chunks with the given chunk_id, as hits without a score."""
-        return flattened(self.shared.read().join(ids.select("chunk_id").distinct(), "chunk_id"))
+        return flattened(self.shared.read().drop("embedding").join(ids.select("chunk_id").distinct(), "chunk_id"))
 
     def shared_size(self) -> int:
         return self.shared.read().count()
 
     def session_size(self, session_id: str) -> int:
-        return self.own.read().filter(F.col("session_id") == need_session(session_id)).count()
+        return self.rows_of_session(session_id).count()
 
     def delete_session(self, session_id: str) -> int:
-        """Remove one session's chunks; how many went."""
+        """Remove one session's chunks; how many went. Writes their keys alone."""
         need_session(session_id)
-        rows = self.own.read()
-        gone = rows.filter(F.col("session_id") == session_id).count()
-        if gone:
-            self.own.replace(rows.filter(~F.col("session_id").eqNullSafe(session_id)))
-        return gone
+        return self.own.delete(F.col("session_id") == session_id, first=session_id)
+
+    def delete_sessions(self, ids: DataFrame) -> DataFrame:
+        """Remove the chunks of many sessions (session_id) in one commit; (session_id, n) of those that had some."""
+        gone = ids.select("session_id").filter("trim(session_id) <> ''").distinct()
+        return self.own.delete_matching(gone)
 
     def reset_shared(self) -> None:
         self.shared.reset()
@@ -177,13 +161,16 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 
 def index_documents(pages: DataFrame, chunks: Chunks, embed, dim: int, reset: bool = False) -> DataFrame:
-    """Documents to shared chunks with vectors: (chunk columns, embedding). Stops before any write if there are no chunks or a vector has another length."""
-    rows = curate.chunk_rows(pages, SHARED)
-    vectors = rows.withColumn("embedding", embed(F.col("text")))
-    if rows.limit(1).isEmpty():
+    """Documents to shared chunks with vectors; (chunk columns, embedding) as stored. Stops before any commit if there are no chunks or a vector has another length.
+
+    Texts are embedded once, into a folder that the table then takes its rows from.
+    """
+    rows = curate.chunk_rows(pages, SHARED).withColumn("embedding", embed(F.col("text")).cast("array<float>"))
+    made = materialize(rows, "embedded")
+    if made.isEmpty():
         raise ValueError("the documents make no chunks")
-    refuse(vectors, F.size("embedding") != dim, f"the embedder's vectors do not have {dim} components")
+    refuse(made, F.size("embedding") != dim, f"the embedder's vectors do not have {dim} components")
     if reset:
         chunks.reset_shared()
-    chunks.add_shared(rows)
-    return curate.check_dimension(vectors, "embedding", dim)
+    chunks.add_shared(made)
+    return made

@@ -111,17 +111,6 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("int"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): exact top k by cosine for a checked, small set of queries (query_id, q), in blocks against all rows."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("exact search takes at most 10,000 queries; use an approximate search beyond")
-    size = lambda v: F.sqrt(text.dot(F.col(v), F.col(v)))
-    asked = queries.select("query_id", "q", size("q").alias("_b"))
-    each = vectors.select(key, vector, size(vector).alias("_a")).join(F.broadcast(asked))  # sizes are taken once a row, not once a pair
-    scored = each.select("query_id", key, F.round(text.dot(F.col(vector), F.col("q")) / (F.col("_a") * F.col("_b")), 9).alias("score"))
-    return best(scored, k, key)
-
-
 def scoped(rows: DataFrame, session_id: str) -> DataFrame:
     """Rows of one session; a blank session is an error, never everything."""
     if not session_id:

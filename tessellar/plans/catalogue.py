@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, safety, text
-from ..operators import access, conversation, curate, handoff, insights, metrics, search, store
+from ..operators import access, conversation, curate, handoff, insights, metrics, search, store, vectors
 from ..sources.shared import materialize
 from . import stored
 
@@ -336,7 +336,7 @@ def _query_vectors(spark, d):
 
 
 def _cosine(spark, d):
-    return search.nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), fixed.TOP_K)
+    return vectors.nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), fixed.TOP_K)
 
 
 @query(f"select query_id, vec_id, round(score, 6) as score, cast(rank as integer) as rank from ({_cosine_sql()})")
@@ -346,14 +346,10 @@ def cosine_topk(spark, d):
 
 @query(f"select query_id, vec_id, round(score, 6) as score, cast(rank as integer) as rank from ({_cosine_sql('label = query_label')}) where query_id % 2 = 0")
 def scoped_cosine_topk(spark, d):
-    """Each label is a session: a question meets its own session's vectors alone, through the scoped read."""
-    vectors = table(spark, d, "embeddings").withColumn("session_id", F.col("label").cast("string"))
-    asked = _query_vectors(spark, d).filter("query_id % 2 = 0")
-    labels = [r[0] for r in asked.select(F.col("query_label").cast("string")).distinct().collect()]  # one scoped read for each session
-    out = None
-    for label in labels:
-        one = search.nearest(search.scoped(vectors, label), asked.filter(F.col("query_label").cast("string") == label), fixed.TOP_K)
-        out = one if out is None else out.unionByName(one)
+    """Each label is a session: a question meets its own session's vectors alone, all sessions in one plan."""
+    own = table(spark, d, "embeddings").withColumn("session_id", F.col("label").cast("string"))
+    asked = _query_vectors(spark, d).filter("query_id % 2 = 0").withColumn("session_id", F.col("query_label").cast("string"))
+    out = vectors.nearest(own, asked, fixed.TOP_K, scope="session_id")
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -399,6 +395,30 @@ def hybrid_search(spark, d):
     return _context(spark, d).select("query_id", "doc_id", "source", F.round("score", 6).alias("score"), "rank")
 
 
+#: Stored chunks: scope 0 is shared, ids that end in 7 to 9 are a session's own; a question asks the shared ones and one session.
+_STORED = f"""a as ({_ASKED}), qs as (select query_id, 0 as scope, 40 as most from a union all select query_id, 7 + query_id % 3, 13 from a), qt as (select distinct query_id, unnest({TOK}) as term from a),
+ t as (select doc_id, source, case when doc_id % 10 >= 7 then doc_id % 10 else 0 end as scope, {TOK} as t from documents), s as (select scope, count(*) as n, avg(len(t)) as avgdl from t group by scope),
+ p as (select doc_id, scope, len(any_value(t.t)) as dl, term, count(*) as tf from t, unnest(t.t) as u(term) group by doc_id, scope, term), df as (select scope, term, count(*) as df from p group by all),
+ b as (select query_id, scope, most, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join qs using (query_id) join df using (scope, term) join p using (scope, term) join s using (scope) group by all),
+ bm as (select query_id, scope, doc_id, row_number() over (partition by query_id, scope order by round(score, 9) desc, doc_id) as rank from b where score > 0 qualify rank <= most),
+ e as (select vec_id as doc_id, v from ({_VECTORS}) where vec_id in (select doc_id from documents)), q as (select vec_id as query_id, v as q from ({_VECTORS})),
+ de as (select query_id, scope, doc_id, round({_COS}, 9) as score, row_number() over (partition by query_id, scope order by round({_COS}, 9) desc, doc_id) as rank from qs join q using (query_id) join t using (scope) join e using (doc_id) qualify rank <= most),
+ u as (select query_id, doc_id, case when scope = 0 then 0 else 2 end as l, rank, case when scope = 0 then 1.0::double else 1.15 end as w from de union all select query_id, doc_id, case when scope = 0 then 1 else 3 end, rank, case when scope = 0 then 1.0 else 1.15 end from bm),
+ fu as (select query_id, doc_id, sum(w / (60 + rank)) as score, min(l * 1000 + rank) as pos from u group by query_id, doc_id),
+ ra as (select fu.*, scope, source, row_number() over (partition by query_id order by round(fu.score, 12) desc, pos) as rank from fu join t using (doc_id) qualify rank <= 40),
+ dv as (select *, row_number() over (partition by query_id, source order by rank) as rn from ra),
+ cx as (select *, row_number() over (partition by query_id order by rank) as place from dv where rn <= 2 or scope > 0 qualify place <= 6)"""
+
+
+@query(f"with {_STORED} select query_id, lpad(doc_id::varchar, 12, '0') as chunk_id, case when cx.scope > 0 then concat('s', cx.scope) end as session_id, round(cx.score, 6) as score, round(de.score, 6) as dense_score, cast(place as integer) as rank from cx left join de using (query_id, doc_id)")
+def stored_search(spark, d):
+    """Questions over stored chunks in one call: shared ones and those of the question's session, from indexes written once."""
+    vector = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = _questions(spark, d).withColumnRenamed("text", "question").join(vector, "query_id").withColumn("session_id", F.concat(F.lit("s"), 7 + F.col("query_id") % 3))
+    found = stored.chunks(spark, d).context(asked, share=1.0)
+    return found.select("query_id", "chunk_id", "session_id", F.round("score", 6).alias("score"), F.round("dense_score", 6).alias("dense_score"), "rank")
+
+
 @query(f"{_FUSED}, c as (select a.query_id, case when count(doc_id) = 0 then 0 else greatest(0.0, least(1.0, coalesce(max(dense), 0.5))) end as confidence from a left join cx using (query_id) group by a.query_id) select query_id, round(confidence, 6) as confidence, confidence < 0.15 as refused from c")
 def retrieval_confidence(spark, d):
     one = _context(spark, d).groupBy("query_id").agg(search.confidence(F.lit(None).cast("double"), F.col("dense")).alias("confidence"))

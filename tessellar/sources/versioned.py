@@ -55,17 +55,12 @@ class Version:
 
 
 @dataclass(frozen=True)
-class Table:
-    """key: the columns that tell rows apart, enforced at every write; unique: further columns that no two rows share. Without a key, rows are only added or replaced."""
+class Log:
+    """Numbered versions below a folder, each a JSON file that is there whole or not at all."""
 
     spark: SparkSession
     path: str
-    schema: str
-    key: tuple[str, ...] = ()
-    unique: tuple[tuple[str, ...], ...] = ()
-    buckets: int = 16
 
-    # ---- files ------------------------------------------------------------------------------------------------
     def _fs(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -109,29 +104,52 @@ class Table:
         fs, at = self._fs(f"{self.path}/{name}")
         return list(fs.listStatus(at)) if fs.exists(at) else []
 
-    # ---- versions ---------------------------------------------------------------------------------------------
     def numbers(self) -> list[int]:
         return sorted(int(s.getPath().getName()) for s in self._list("commits") if s.getPath().getName().isdigit())
 
-    def version(self, number: int | None = None) -> Version:
-        """A version by its number, or the newest; before the first commit an empty one."""
+    def told(self, number: int | None = None) -> tuple[int, Any]:
+        """The number and content of a version, or of the newest; 0 and None before the first."""
         held = self.numbers()
-        if number is None:
-            number = held[-1] if held else 0
-        if number == 0 and 0 not in held:
-            return Version()
-        told = json.loads(self._text(f"commits/{number:012d}"))
-        return Version(number, tuple(map(tuple, told["base"])), tuple(map(tuple, told["deltas"])))
+        number = number if number is not None else held[-1] if held else 0
+        return number, json.loads(self._text(f"commits/{number:012d}")) if number else None
 
-    def _change(self, plan: Callable[[Version], tuple[Version | None, Any]]) -> Any:
-        """Commit what `plan` makes of the newest version; if another commit came first, plan again on that. None changes nothing."""
+    def commit(self, plan: Callable[[int, Any], tuple[Any, Any]]) -> Any:
+        """plan(number, content) gives what comes after the newest version and a result; if another commit came first, it is asked again. None commits nothing."""
         for _ in range(TRIES):
-            now = self.version()
-            new, told = plan(now)
-            if new is None or self._put(f"commits/{now.number + 1:012d}", json.dumps({"base": new.base, "deltas": new.deltas})):
-                return told
+            number, now = self.told()
+            new, result = plan(number, now)
+            if new is None or self._put(f"commits/{number + 1:012d}", json.dumps(new)):
+                return result
         raise Conflict(f"{self.path}: {TRIES} commits by others came first")
 
+
+@dataclass(frozen=True)
+class Table(Log):
+    """key: the columns that tell rows apart, enforced at every write; unique: further columns that no two rows share. Without a key, rows are only added or replaced."""
+
+    schema: str = ""
+    key: tuple[str, ...] = ()
+    unique: tuple[tuple[str, ...], ...] = ()
+    buckets: int = 16
+
+    # ---- versions ---------------------------------------------------------------------------------------------
+    def version(self, number: int | None = None) -> Version:
+        """A version by its number, or the newest; before the first commit an empty one."""
+        return self._parsed(*self.told(number))
+
+    @staticmethod
+    def _parsed(number: int, told: Any) -> Version:
+        return Version() if told is None else Version(number, tuple(map(tuple, told["base"])), tuple(map(tuple, told["deltas"])))
+
+    def _change(self, plan: Callable[[Version], tuple[Version | None, Any]]) -> Any:
+        """Commit what `plan` makes of the newest version."""
+
+        def step(number: int, now: Any) -> tuple[Any, Any]:
+            new, result = plan(self._parsed(number, now))
+            return None if new is None else {"base": new.base, "deltas": new.deltas}, result
+
+        return self.commit(step)
+
     # ---- reading ----------------------------------------------------------------------------------------------
     @property
     def columns(self) -> list[str]:
@@ -168,6 +186,23 @@ class Table:
         where = F.col(self.key[0]) == F.lit(first)
         return self._merged(v, self._rows([f for b, f, _ in v.base if b == own])).filter(where)
 
+    def changes(self, since: int) -> DataFrame:
+        """(columns, _gone) of the keys that changed after a version: their rows now, or, where `_gone`, the key alone.
+
+        Reads the deltas that came since; if buckets were written anew in between, both versions' rows in those buckets are compared.
+        """
+        then, now = self.version(since), self.version()
+        if then.base == now.base and now.deltas[: len(then.deltas)] == then.deltas:
+            newer = Version(now.number, (), now.deltas[len(then.deltas) :])
+            return self._deltas(newer) if newer.deltas else self._rows([]).withColumn("_gone", F.lit(False))
+        kept = set(then.base) & set(now.base)
+        apart = [self._merged(v, self._rows([f for b, f, n in v.base if (b, f, n) not in kept])) for v in (then, now)]
+        print_ = lambda rows: rows.withColumn("_print", F.xxhash64(*self.columns))
+        new = print_(apart[1]).join(print_(apart[0]).select(*self.key, "_print"), [*self.key, "_print"], "left_anti").select(*self.columns, F.lit(False).alias("_gone"))
+        lost = apart[0].join(apart[1].select(*self.key), list(self.key), "left_anti")
+        kinds = dict(lost.dtypes)
+        return new.union(lost.select(*[F.col(c) if c in self.key else F.lit(None).cast(kinds[c]).alias(c) for c in self.columns], F.lit(True).alias("_gone")))
+
     # ---- changes ----------------------------------------------------------------------------------------------
     def _write(self, rows: DataFrame, bucketed: bool) -> tuple[str, list[tuple[int, str, int]]]:
         """Write rows to a folder of their own; (folder, (bucket, folder, rows) of each bucket)."""

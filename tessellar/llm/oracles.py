@@ -2,7 +2,7 @@
 
 from .quality_rules import Rules
 
-_SLACK = " ".join(f"when '{k}' then {v}" for k, v in Rules().slack.items())
+_LEAST, _MOST = (" ".join(f"when '{k}' then {v}" for k, v in by.items()) for by in (Rules().least, Rules().most_tail))
 
 OP10 = rf"""
 with t as (select doc_id, coalesce(text, '') as s, lang, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -14,10 +14,11 @@ c as (select doc_id, lang, source, len(w) as n_words, length(array_to_string(w,
 m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
 x as (select doc_id, lang, source, base_failed, unnest(['r_symbols', 'r_dup_lines', 'r_repeat', 'r_length', 'r_upper', 'r_shout']) as k,
   unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1), 1000 * n_upper // greatest(word_chars, 1), 1000 * n_shout // greatest(n_words, 1)]) as v from m),
-lev as (select 0 as level, lang, source, k, v from x where not base_failed union all select 1, lang, null, k, v from x where not base_failed union all select 2, null, null, k, v from x where not base_failed),
-q as (select level, lang, source, k, n, min(case when 2 * rn >= n then v end) as q50, min(case when 4 * rn >= 3 * n then v end) as q75
+y as (select lang, source, k, ((v >> w) + 1) * (1 << w) - 1 as v from (select *, greatest(length(bin(v)) - 6, 0) as w from x where not base_failed)),
+lev as (select 0 as level, lang, source, k, v from y union all select 1, lang, null, k, v from y union all select 2, null, null, k, v from y),
+q as (select level, lang, source, k, n, min(case when 4 * rn >= n then v end) as q25, min(case when 4 * rn >= 3 * n then v end) as q75, min(case when 200 * rn >= 199 * n then v end) as q995
   from (select *, row_number() over (partition by level, lang, source, k order by v) as rn, count(*) over (partition by level, lang, source, k) as n from lev) group by all),
-lim as (select *, q75 + {Rules().spread} * (q75 - q50) + case k {_SLACK} end as most from q where level = 2 or n >= {Rules().least_rows}),
+lim as (select *, greatest(q75 + {Rules().spread} * (q75 - q25), case k {_LEAST} end, least({Rules().tail} * q995, case k {_MOST} end)) as most from q where level = 2 or n >= {Rules().least_rows}),
 bad as (select x.doc_id, bool_or(x.v > least(coalesce(a.most, b.most, o.most), {Rules().most} * o.most)) as above from x left join lim a on a.level = 0 and a.k = x.k and a.lang is not distinct from x.lang and a.source is not distinct from x.source
   left join lim b on b.level = 1 and b.k = x.k and b.lang is not distinct from x.lang left join lim o on o.level = 2 and o.k = x.k group by x.doc_id)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,

@@ -1,9 +1,14 @@
 """Quality rules whose cut-offs follow the corpus: quantile sketches per language and source.
 
-Every text is measured with built-in functions only. Each measure is an integer ratio, so a histogram of
-its values is a quantile sketch with a known error (one step of the ratio) and sketches of two sets of rows merge
-by adding counts: partial sums are formed before the shuffle, and a language's sketch is the merge of its
-sources' sketches. A group with too few rows takes its language's cut-offs, and that failing the corpus's; no group's
+Every text is measured with built-in functions only. A measure is an integer ratio, and a group's sketch counts its values in bins that
+are exact below 64 and a 32nd of the value wide above: a quantile is off by 3 % at most, a sketch has a few hundred rows however
+large the group, and sketches of two sets of rows merge by adding counts. Partial sums are formed before the shuffle, and a
+language's sketch is the merge of its sources'.
+
+A group's cut-off is the larger of two figures: what its middle half allows (q75 + spread * (q75 - q25)), and what its tail shows
+(`tail` times its q99.5). The tail's figure is held between `least` and `most_tail`, the only fixed numbers: a tail shorter than
+`least` rejects nothing that is common elsewhere, and one longer than `most_tail` is taken for junk. So a group whose texts are all alike in a measure gets a narrow limit,
+and one in which they vary a wide one. A group with too few rows takes its language's cut-offs, and that failing the corpus's; no group's
 cut-off exceeds `most` times the corpus's, so that a source full of junk doesn't set a limit that lets its junk pass.
 
 Defined results: null text has no words and fails the base rule; null language or source is a group of its
@@ -33,15 +38,23 @@ _RATIOS = {
 
 @dataclass(frozen=True)
 class Rules:
-    """A row is rejected above q75 + spread * (q75 - q50) + slack of its group, or `most` times that of the corpus; slack is in steps of the ratio."""
+    """least and most_tail are in steps of the ratios."""
 
     spread: float = 6.0
-    slack: dict = field(default_factory=lambda: {"r_symbols": 150, "r_dup_lines": 500, "r_repeat": 350, "r_length": 1500, "r_upper": 300, "r_shout": 300})
+    tail: float = 2.0
+    least: dict = field(default_factory=lambda: {"r_symbols": 30, "r_dup_lines": 200, "r_repeat": 150, "r_length": 0, "r_upper": 60, "r_shout": 30})
+    most_tail: dict = field(default_factory=lambda: {"r_symbols": 150, "r_dup_lines": 500, "r_repeat": 350, "r_length": 0, "r_upper": 300, "r_shout": 300})
     most: float = 4.0
     least_rows: int = 100
     broadcast_groups: int = 20_000
 
 
+def _bin(value: str) -> str:
+    """SQL for the largest value of a value's bin: its first six binary digits name the bin."""
+    width = f"greatest(length(bin({value})) - 6, 0)"
+    return f"shiftleft(shiftright({value}, {width}) + 1, {width}) - 1"
+
+
 def measures(text: Column) -> dict[str, Column]:
     """The counts of one text, by name; null counts as an empty text."""
     text = F.coalesce(text, F.lit(""))
@@ -76,9 +89,10 @@ def with_metrics(docs: DataFrame) -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, value, n): the counts of each value, for each group, each language (source null, level 1) and all rows (level 2)."""
+    """(lang, source, measure, value, n): the counts of each bin (by its largest value), for each group, each language (source null, level 1) and all rows (level 2)."""
     pairs = ", ".join(f"'{k}', {k}" for k in _RATIOS)
     long = measured.filter(~F.col("base_failed")).selectExpr("lang", "source", f"stack({len(_RATIOS)}, {pairs}) as (measure, value)")
+    long = long.withColumn("value", F.expr(_bin("value")))
     base = long.groupBy("lang", "source", "measure", "value").agg(F.count("*").alias("n"))
     level1 = base.groupBy("lang", "measure", "value").agg(F.sum("n").alias("n"))
     level2 = level1.groupBy("measure", "value").agg(F.sum("n").alias("n"))
@@ -94,9 +108,10 @@ def cutoffs(sketch: DataFrame, rules: Rules) -> DataFrame:
     at = Window.partitionBy("level", "lang", "source", "measure")
     ranked = sketch.withColumns({"upto": F.sum("n").over(at.orderBy("value")), "rows": F.sum("n").over(at)})
     quantile = lambda num, den: F.min(F.when(F.col("upto") * den >= F.col("rows") * num, F.col("value")))
-    one = ranked.groupBy("level", "lang", "source", "measure").agg(quantile(1, 2).alias("q50"), quantile(3, 4).alias("q75"), F.max("rows").alias("rows"))
-    slack = F.create_map(*[F.lit(x) for kv in rules.slack.items() for x in kv])
-    limit = F.col("q75") + F.lit(rules.spread) * (F.col("q75") - F.col("q50")) + slack[F.col("measure")]
+    one = ranked.groupBy("level", "lang", "source", "measure").agg(quantile(1, 4).alias("q25"), quantile(3, 4).alias("q75"), quantile(199, 200).alias("q995"), F.max("rows").alias("rows"))
+    bound = lambda by: F.create_map(*[F.lit(x) for kv in by.items() for x in kv])[F.col("measure")]
+    middle = F.col("q75") + F.lit(rules.spread) * (F.col("q75") - F.col("q25"))
+    limit = F.greatest(middle, F.greatest(bound(rules.least), F.least(F.lit(rules.tail) * F.col("q995"), bound(rules.most_tail))))
     return one.withColumn("limit", limit).groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"limit_{k}") for k in _RATIOS])
 
 

@@ -314,6 +314,12 @@ def bm25_lucene_topk(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {_bm25_sql()} select query_id, doc_id, round(round(score, 9), 6) as score, cast(rank as integer) as rank from bm")
+def bm25_blockmax_topk(spark, d):
+    """The same questions through blocks with bounds."""
+    return stored.blocks(spark, d).search(_questions(spark, d), fixed.TOP_K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"with {_bm25_sql(True)} select query_id, doc_id, round(round(score, 9), 6) as score, cast(rank as integer) as rank from bm")
 def bm25_classic_topk(spark, d):
     return _bm25(spark, d, True).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

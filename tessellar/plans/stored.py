@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retriever, search, store
+from ..operators import blockmax, retriever, search, store
 from ..sources.shared import remember, shared_dir
 
 
@@ -35,6 +35,15 @@ def index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> search.Index
     return search.Index.open(spark, path)
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> blockmax.Blocks:
+    """The postings of `documents` in blocks with bounds, made once of the index."""
+    path = _place(spark, sf_dir, "blocks", "documents")
+    if not _exists(spark, f"{path}/terms/_SUCCESS"):
+        remember(spark, path)
+        return blockmax.Blocks.build(index(spark, sf_dir), path)
+    return blockmax.Blocks.open(spark, path)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> retriever.Retriever:
     """`documents` as stored chunks with the vectors of `embeddings` (vec_id = doc_id), indexed: ids that end in 7, 8 or 9 belong to the sessions s7, s8 and s9, all others are shared."""
     path = _place(spark, sf_dir, "chunks", "documents", "embeddings")

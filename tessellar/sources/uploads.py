@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import curate, store
 from . import files
+from .shared import materialize
+from .versioned import Table
 
 TEXT_SUFFIXES, IMAGE_SUFFIXES = ("txt", "md"), ("png", "jpg", "jpeg", "webp", "bmp")
 #: A page's own text below this many characters is weighed against a recognised one.
@@ -54,10 +56,16 @@ def parse(uploads: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame
     return out.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)^\s*$"))
 
 
-def ingest(uploads: DataFrame, session_id: str, chunks: store.Chunks, readers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def kept_files(spark: SparkSession, path: str) -> Table:
+    """The files that sessions have uploaded, by session and name."""
+    return Table(spark, path, "session_id string, doc_name string, content binary", ("session_id", "doc_name"))
+
+
+def ingest(uploads: DataFrame, session_id: str, chunks: store.Chunks, readers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, kept: Table | None = None) -> DataFrame:
     """Sound uploads into one session's chunks; (doc_name, pages, chunks, language, problem) of every file.
 
-    A file that is refused, unreadable or without indexable text makes no chunks and says so.
+    A file that is refused, unreadable or without indexable text makes no chunks and says so. With `kept` (see kept_files) the others are
+    saved there, and one saved before under the name of a file that failed goes.
     """
     store.need_session(session_id)
     named = uploads.withColumn("doc_name", files.safe_name(F.col("path")))
@@ -69,4 +77,12 @@ def ingest(uploads: DataFrame, session_id: str, chunks: store.Chunks, readers: d
     chunks.add_own(made, session_id)
     counts = chunks.of_session(session_id).groupBy("doc_name").agg(F.count("*").alias("chunks"))
     out = named.select("doc_name", "problem").join(told, "doc_name", "left").join(counts, "doc_name", "left").na.fill(0, ["pages", "chunks"])
-    return out.withColumn("problem", F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("pages") == 0, "no readable text").when(F.col("chunks") == 0, "no indexable content"))
+    told = out.withColumn("problem", F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("pages") == 0, "no readable text").when(F.col("chunks") == 0, "no indexable content"))
+    if kept is None:
+        return told
+    told = materialize(told, "uploads")
+    files_ = named.select(F.lit(session_id).alias("session_id"), "doc_name", "content").dropDuplicates(["doc_name"])
+    kept.upsert(files_.join(told.filter("problem is null").select("doc_name"), "doc_name", "left_semi"))
+    failed = told.filter("problem is not null").select("doc_name")
+    kept.delete(F.col("doc_name").isin([r[0] for r in failed.collect()]), first=session_id)  # the names of one upload
+    return told

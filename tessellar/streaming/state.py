@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators import store
+from ..sources.shared import materialize
+from ..sources.versioned import Table
 
 TURNS = "session_id string, turn_no long, ts timestamp, low_confidence boolean, repeated boolean, score double"
 OUT = "session_id string, turn_no long, event string, low_before int, repeat_before int, low_streak int, repeat_streak int, escalate boolean, turns long"
@@ -49,16 +52,23 @@ def session_states(turns: DataFrame, ttl_seconds: int = fixed.TTL_SECONDS, late:
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def clean_up(states: DataFrame, chunks: store.Chunks, hooks: list[Callable[[str], None]] | None = None) -> Callable[[DataFrame, int], list[str]]:
-    """For foreachBatch: every expired session loses its chunks first, then the hooks run; what fails does not stop the others. Returns the failures."""
+def clean_up(states: DataFrame, chunks: store.Chunks, hooks: list[Callable[[str], None]] | None = None, uploads: Table | None = None) -> Callable[[DataFrame, int], list[str]]:
+    """For foreachBatch: the chunks of all sessions that a batch ends go first, in one commit, then their uploaded files, in another, then the hooks run for each; what fails does not stop the others. Returns the failures."""
 
     def run(batch: DataFrame, _: int) -> list[str]:
         failed = []
-        ended = batch.filter("event = 'expired'").select("session_id").distinct()
-        for row in ended.toLocalIterator():  # only ids, streamed one partition at a time
-            for step in (chunks.delete_session, *(hooks or [])):
+        ended = materialize(batch.filter("event = 'expired'").select("session_id").distinct(), "ended")
+        if ended.isEmpty():
+            return failed
+        for step in (chunks.delete_sessions, *([uploads.delete_matching] if uploads else [])):
+            try:
+                step(ended)
+            except Exception as problem:  # a table that cannot be written must not keep the rest
+                failed.append(f"all: {problem}")
+        for row in ended.toLocalIterator() if hooks else []:  # only ids, streamed one partition at a time
+            for hook in hooks:
                 try:
-                    step(row.session_id)
+                    hook(row.session_id)
                 except Exception as problem:  # a hook is a caller's code
                     failed.append(f"{row.session_id}: {problem}")
         return failed
@@ -66,6 +76,43 @@ def clean_up(states: DataFrame, chunks: store.Chunks, hooks: list[Callable[[str]
     return run
 
 
+SWEPT = "session_id string, event string, turns long"
+
+
+class _Timer(StatefulProcessor):
+    """Ends a session when nothing has come for ttl_ms of wall-clock time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.turns = handle, handle.getValueState("turns", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = sum(len(r) for r in rows) + (self.turns.get()[0] if self.turns.exists() else 0)
+        self.turns.update((n,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        yield pd.DataFrame([(key[0], "turn", n)], columns=["session_id", "event", "turns"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = self.turns.get()[0] if self.turns.exists() else 0
+        self.turns.clear()
+        yield pd.DataFrame([(key[0], "expired", n)], columns=["session_id", "event", "turns"])
+
+    def close(self) -> None:
+        pass
+
+
+def swept_sessions(turns: DataFrame, ttl_seconds: float = fixed.TTL_SECONDS) -> DataFrame:
+    """A row `turn` for each session that a micro-batch touches and a row `expired` when a session has been idle for ttl_seconds, even if no event comes from anyone: for `clean_up`.
+
+    Needs the RocksDB state store.
+    """
+    return turns.select("session_id").groupBy("session_id").transformWithStateInPandas(_Timer(int(ttl_seconds * 1000)), SWEPT, "Append", "ProcessingTime")
+
+
 def adopt_sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Sessions by inactivity with an id of their own, derived from the user and the first event, so that a late return starts a new one."""
     windows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))

@@ -39,9 +39,26 @@ def sample_window(rows: DataFrame, by: str, order: list[str], most: int = 2000)
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).drop("rn")
 
 
+#: Hashed sums that stand for all values of a column.
+BUCKETS = 1 << 16
+
+
 def most_common(rows: DataFrame, column: str, order: str, k: int = 5) -> DataFrame:
-    """(column, n): the k most frequent values; ties to the first seen."""
-    return rows.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k).drop("first")
+    """(column, n): the k most frequent values; ties to the first seen.
+
+    The values are not all shuffled: rows are counted by a hash of the value, BUCKETS sums at most, and the values of the k fullest buckets
+    are counted exactly. The k-th best of those is a threshold, and only buckets that reach it can hold a better value; theirs are counted.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+    sums = rows.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
+    fullest = [r[0] for r in sums.orderBy(F.desc("_n"), "_b").limit(k).collect()]
+
+    def counted(keep: Column) -> DataFrame:
+        return rows.filter(keep).groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k)
+
+    least = counted(bucket.isin(fullest)).agg(F.when(F.count("*") == k, F.min("n")).otherwise(0).alias("least")).first()[0] if fullest else 0
+    heavy = F.broadcast(sums.filter(F.col("_n") >= least).select("_b"))  # BUCKETS rows at most
+    return rows.withColumn("_b", bucket).join(heavy, "_b", "left_semi").groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k).drop("first")
 
 
 def recall_mrr(ranked: DataFrame, by: list[str], latency: str | None = None) -> DataFrame:

@@ -376,7 +376,8 @@ def _ranked(spark, d):
     dense = _cosine(spark, d).withColumnRenamed("vec_id", "chunk_id").join(held.select("chunk_id"), "chunk_id", "left_semi")
     sparse = _bm25(spark, d).withColumnRenamed("doc_id", "chunk_id")
     own = lambda ranked: search.best(ranked.filter("chunk_id % 10 = query_id % 10").withColumn("s", -F.col("rank")), fixed.SESSION_K, "chunk_id", score="s")
-    fused = search.retrieve(dense, sparse, own(dense), own(sparse))
+    dense, sparse = materialize(dense, "dense"), materialize(sparse, "sparse")  # at most 40 rows a question, read three times each
+    fused = materialize(search.retrieve(dense, sparse, own(dense), own(sparse)), "fused")
     return held.join(search.few(fused), "chunk_id").withColumnsRenamed({"chunk_id": "doc_id", "dense_score": "dense"})
 
 
@@ -444,7 +445,7 @@ def _holders(spark, d):
     items, rows, built = table(spark, d, "benchmark"), docs(spark, d).select("doc_id", F.col("text").alias("body")), stored.index(spark, d)
     inner = text.bound(text.tokens(F.col("text"), True), lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))))
     each = items.select("item_id", F.explode(F.array_distinct(inner)).alias("term")).join(built.terms, "term", "left").na.fill(0, ["df"])
-    rarest = each.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    rarest = materialize(each.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rarest")
     found = built.postings.select("term", "doc_id").join(search.few(rarest), "term").select("item_id", "doc_id")
     known = found.join(items, "item_id").join(rows, "doc_id")
     short = items.join(rarest, "item_id", "left_anti")  # passages of fewer than three tokens meet every document
@@ -455,7 +456,8 @@ def _holders(spark, d):
 
 def _reranked(spark, d):
     kept = search.diversify(_ranked(spark, d), "source", by="query_id").join(_questions(spark, d).withColumnRenamed("text", "question"), "query_id")
-    return search.rerank(docs(spark, d).select("doc_id", "text").join(search.few(kept.drop("text")), "doc_id"), fixed.CONTEXT)
+    kept = materialize(kept.drop("text"), "kept")
+    return search.rerank(docs(spark, d).select("doc_id", "text").join(search.few(kept), "doc_id"), fixed.CONTEXT)
 
 
 @query(f"""{_RERANKED} select query_id, doc_id, round(rerank, 6) as rerank_score, cast(place as integer) as rank from tp""")

@@ -36,6 +36,8 @@ class Index:
     terms: DataFrame
     totals: DataFrame
     key: str
+    #: The folder that it lies in, if it was opened there.
+    path: str | None = None
 
     @staticmethod
     def build(docs: DataFrame, path: str, key: str = "doc_id", stem: bool = True) -> Index:
@@ -55,7 +57,7 @@ class Index:
     @staticmethod
     def open(spark: SparkSession, path: str, key: str = "doc_id") -> Index:
         """The index that lies in a folder; nothing is read from the corpus again."""
-        return Index(*(spark.read.parquet(f"{path}/{k}") for k in ("postings", "terms", "totals")), key)
+        return Index(*(spark.read.parquet(f"{path}/{k}") for k in ("postings", "terms", "totals")), key, path)
 
     def scores(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, classic: bool = False, stem: bool = True) -> DataFrame:
         """(query_id, key, score) of the documents that score above 0, for queries (query_id, text).

@@ -36,9 +36,9 @@ def index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> search.Index
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> blockmax.Blocks:
-    """The postings of `documents` in blocks with bounds, made once of the index."""
+    """Bounds of the blocks of the index of `documents`, made once."""
     path = _place(spark, sf_dir, "blocks", "documents")
-    if not _exists(spark, f"{path}/terms/_SUCCESS"):
+    if not _exists(spark, f"{path}/told/_SUCCESS"):
         remember(spark, path)
         return blockmax.Blocks.build(index(spark, sf_dir), path)
     return blockmax.Blocks.open(spark, path)

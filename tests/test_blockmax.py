@@ -24,3 +24,23 @@ def test_same_results_from_fewer_blocks(spark, tmp_path):
     assert again.n == len(rows) and again.search(asked.limit(0), 5).count() == 0
     empty = blockmax.Blocks.build(search.Index.build(docs.limit(0), str(tmp_path / "i0")), str(tmp_path / "b0"))
     assert empty.search(asked, 5).count() == 0
+
+
+def folder_size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_bounds_take_less_than_the_index_and_no_shuffle(spark, tmp_path):
+    """Before, the postings were written again with their blocks, after a shuffle of them all."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.choice([20, 60, 200])))) for i in range(2000)], "doc_id long, text string")
+    index = search.Index.build(docs, str(tmp_path / "index"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bounds", "bounds of blocks")
+    blocks = blockmax.Blocks.build(index, str(tmp_path / "blocks"))
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("bounds")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs and all(len(j.stageIds) == 1 for j in jobs)
+    assert folder_size(tmp_path / "blocks") < folder_size(tmp_path / "index" / "postings")
+    whole = index.postings.groupBy("term").count().count()
+    assert blocks.tops.select("term").distinct().count() == whole

@@ -95,9 +95,7 @@ class Blocks:
 
     def _scored(self, asked: DataFrame, pages: DataFrame, k: int) -> DataFrame:
         """The k best documents of each question within the given (query_id, page)."""
-        wanted = pages.join(search.few(asked), "query_id")
-        postings = self.index.postings.join(search.few(asked.select("term").distinct()), "term", "left_semi")
-        hits = self._placed(postings).join(search.few(wanted), ["term", "page"])
+        hits = self._placed(self.index.postings).join(search.few(asked), "term").join(search.few(pages), ["query_id", "page"], "left_semi")
         scored = hits.groupBy("query_id", self.key).agg(F.round(F.sum(F.col("idf") * F.col("w")), 9).alias("score"))
         return search.best(scored.filter("score > 0"), k, self.key)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..sources.shared import freed
 
 
 def postings(docs: DataFrame, key: str = "doc_id", stem: bool = True) -> DataFrame:
@@ -46,12 +47,15 @@ class Index:
         found = postings(docs, key, stem)
         # a term's postings are spread over SPREAD partitions, whatever their number; a range partitioning would read the corpus twice
         salt = F.pmod(F.xxhash64(key), F.lit(SPREAD))
-        found.repartition("term", salt).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+        with freed(spark):
+            found.repartition("term", salt).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.parquet(f"{path}/postings")
-        written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        with freed(spark):
+            written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         # documents without a term have no posting, but count
         length = docs.select(F.size(text.tokens(F.col("text"))).alias("dl"))
-        length.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        with freed(spark):
+            length.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return Index.open(spark, path, key)
 
     @staticmethod

@@ -1,8 +1,10 @@
 """The same best documents as the whole index gives, from fewer blocks."""
 
 import random
+import time
 
 from tessellar.operators import blockmax, search
+from tessellar.sources.shared import materialize
 
 
 def test_same_results_from_fewer_blocks(spark, tmp_path):
@@ -44,3 +46,17 @@ def test_bounds_take_less_than_the_index_and_no_shuffle(spark, tmp_path):
     assert folder_size(tmp_path / "blocks") < folder_size(tmp_path / "index" / "postings")
     whole = index.postings.groupBy("term").count().count()
     assert blocks.tops.select("term").distinct().count() == whole
+
+
+def test_the_shuffle_files_of_a_write_go_with_it(spark, tmp_path):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    data = lambda: {x for x in manager.getAllFiles().mkString(",").split(",") if x.endswith(".data")}
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i}") for i in range(3000)], "doc_id long, text string")
+    before = data()
+    search.Index.build(docs, str(tmp_path / "index"))
+    materialize(docs.repartition(3, "doc_id"), "t")
+    for _ in range(40):  # they go in the background
+        if not data() - before:
+            break
+        time.sleep(0.25)
+    assert not data() - before

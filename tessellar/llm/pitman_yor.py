@@ -7,7 +7,8 @@ uniform distribution over bytes (of the bytes before the last, letters a to z ar
 sweeps over whole restaurants: given its parent's predictive probabilities, each restaurant's customers are seated again by the
 Chinese-restaurant rule, and the tables they open are the parent's customers. A pair of words that occurs once has one table,
 so that a sweep seats the others alone. A pair's tables, a context's tables and a word's probability are each averaged over the sweeps kept.
-The contexts' discount comes from the pairs seen once and twice, their strength from the probability of left-out words in a sample of contexts.
+The contexts' discount comes from the pairs seen once and twice; their strength is, after each sweep that is not kept, the one that makes every
+customer of every context, left out once, most probable. Of a pair seen once that takes its context's numbers alone, so such pairs are summed by context.
 
 Counts cover the whole corpus. Words and pairs are counted where they lie, in blocks of BLOCK_DOCS documents, so that what is
 shuffled is one row per block and distinct word or pair; a block's words and pairs get their totals by one pass over them
@@ -49,9 +50,9 @@ class Sampler:
     burn_in: int = 4
     keep: int = 4
     seed: int = 7
-    #: Strengths of the contexts to choose from, and pairs of words to choose by.
+    #: Strengths of the contexts to choose from, and the first sweep's.
     context_strengths: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 256.0, 1e3, 1e4, 1e5, 1e7)
-    sampled_pairs: int = 200_000
+    first_strength: float = 16.0
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -228,22 +229,22 @@ def _pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(found), block, np.int32)), "u": keys[found >> 32], "w": keys[found & 0xFFFFFFFF], "n": n})
 
 
-def choose_strength(context: np.ndarray, n: np.ndarray, parent: np.ndarray, discount: float, p: Sampler) -> float:
-    """The contexts' strength that makes each customer, left out once, most probable. `parent` is the probability of a pair's word without that customer."""
-    if not len(n):
-        return p.context_strengths[-1]
-    _, u = np.unique(context, return_inverse=True)
-    sat, best = np.bincount(u, n)[u], (-np.inf, 0.0)
-    for strength in p.context_strengths:
-        rng = np.random.default_rng(p.seed)
-        tables = np.ones(len(n))
-        for _ in range(3):
-            tables = seat(n, (strength + discount * np.bincount(u, tables)[u]) * parent, discount, lambda i: 1 - rng.random(len(n)))  # noqa: B023
-        others = np.minimum(tables, n - 1)
-        total = np.bincount(u, tables)[u] - (tables - others)
-        likely = (n - 1 - discount * others + (strength + discount * total) * parent) / (sat - 1 + strength)
-        best = max(best, (float((n * np.log(likely)).sum()), strength))
-    return best[1]
+def left_out(c: np.ndarray, t: np.ndarray, sat: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float, p: Sampler) -> np.ndarray:
+    """For each strength, the log probability of all customers of pairs (c customers at t tables, in a context of `sat` at `tables`), each left out once. `parent` is the probability of a pair's word without that customer."""
+    others = np.minimum(t, c - 1)
+    total = np.maximum(tables - (t - others), 0)
+    return np.array([(c * np.log((c - 1 - discount * others + (s + discount * total) * parent) / (sat - 1 + s))).sum() for s in p.context_strengths])
+
+
+def choose_strength(seated: DataFrame, contexts: DataFrame, discount: float, p: Sampler) -> float:
+    """The strength that makes all customers, left out once, most probable: from the sums that came with pairs seen more than once (l), and from contexts (c, n_u, tables) with n_u pairs seen once."""
+    once = lambda s: F.col("n_u") * (F.log(s + F.lit(discount) * (F.col("tables") - 1)) - F.log(F.col("c") - 1 + F.lit(s)))
+    alone = contexts.filter("n_u > 0").agg(*[F.sum(once(s)).alias(f"s{k}") for k, s in enumerate(p.context_strengths)]).first()
+    told = seated.select(F.posexplode("l").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    likely = np.array([x or 0.0 for x in alone])
+    for r in told:
+        likely[r.k] += r.x
+    return p.context_strengths[int(likely.argmax())] if likely.any() else p.context_strengths[-1]
 
 
 def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
@@ -282,13 +283,9 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
     pairs = pairs.select("block", "u", "w", "n", F.sum("n").over(of_pair).alias("c"), (F.min("block").over(of_pair) == F.col("block")).alias("first"))
     pairs = materialize(pairs.filter("c > 0"), "lm-pairs")
     unique = pairs.filter("first").select("u", "w", "c")
-    n_pairs, once, twice = unique.agg(F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    once, twice = unique.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     inner = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
-    bound = 1 << 40 if n_pairs <= sampler.sampled_pairs else int((1 << 40) * sampler.sampled_pairs / n_pairs)
-    some = unique.filter(F.pmod(F.xxhash64(F.lit(5), "u"), F.lit(1 << 40)) < bound).limit(4 * sampler.sampled_pairs)
-    some = some.join(types.select(F.col("key").alias("w"), F.col("c").alias("c_w")), "w").select("u", "c", "c_w", "w").toArrow().sort_by([("u", "ascending"), ("w", "ascending")])
-    u, n, n_w = (some.column(k).to_numpy().astype(np.int64) for k in ("u", "c", "c_w"))
-    strength = choose_strength(u, n, (n_w - 0.9) / (n_tokens + 0.1 * n_types), inner, sampler)
+    strength = sampler.first_strength
 
     def dishes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _, types = shared.value
@@ -300,18 +297,21 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
     single = F.when(F.col("c") == 1, 1).otherwise(0)
     ends = ends.groupBy("key").agg(F.sum(F.col("u") * single).alias("n_u"), F.sum(F.col("w") * single).alias("n_w"), F.sum("u").cast("double").alias("tables"))
     state = types.select("key", "word", "c").mapInArrow(dishes_of, "key long, word binary, c long, dish double").join(ends, "key")
-    state = materialize(state.select("key", "word", "dish", "n_u", "n_w", "tables", (F.col("c") / F.lit(max(n_tokens, 1))).alias("p"), F.lit(0.0).alias("tables_kept"), F.lit(0.0).alias("p_kept")), "lm-state")
+    state = materialize(state.select("key", "word", "c", "dish", "n_u", "n_w", "tables", (F.col("c") / F.lit(max(n_tokens, 1))).alias("p"), F.lit(0.0).alias("tables_kept"), F.lit(0.0).alias("p_kept")), "lm-state")
     seated = materialize(unique.filter("c > 1").withColumn("t_kept", F.lit(0.0)).withColumn("t", F.lit(0.0)), "lm-seated")
     all_tables, all_customers = float(n_types), 0.0
     for sweep in range(sampler.burn_in + sampler.keep):
         kept = float(sweep >= sampler.burn_in)
 
-        def seat_pairs(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept) -> Iterator[pa.RecordBatch]:
+        def seat_pairs(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept, strength=strength) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                u, w, c, before, tables, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+                u, w, c, before, tables, p, sat, c_w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
                 key = _mix(u.view(np.uint64)) + w.view(np.uint64) + np.uint64(sweep)
                 t = seat(c, (strength + inner * tables) * p, inner, _uniform(key))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before + kept * t), pa.array(t)], names=["u", "w", "c", "t_kept", "t"])
+                sums = [None] * len(t)
+                if len(t) and not kept:  # a batch's sums stand in its first row
+                    sums[0] = left_out(c, t, sat, tables, (c_w - 0.9) / (n_tokens + 0.1 * n_types), inner, sampler)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before + kept * t), pa.array(t), pa.array(sums, pa.list_(pa.float64()))], names=["u", "w", "c", "t_kept", "t", "l"])
 
         def seat_words(batches: Iterator[pa.RecordBatch], sweep=sweep, all_tables=all_tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -321,15 +321,17 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
 
         old = common._written[-2:]
         by = lambda name, *x: state.select(F.col("key").alias(name), *x)  # noqa: B023, E731
-        seated = materialize(seated.drop("t").join(by("u", "tables"), "u").join(by("w", "p"), "w").select("u", "w", "c", "t_kept", "tables", "p").mapInArrow(seat_pairs, "u long, w long, c long, t_kept double, t double"), "lm-seated")
+        seated = materialize(seated.select("u", "w", "c", "t_kept").join(by("u", "tables", F.col("c").alias("sat")), "u").join(by("w", "p", F.col("c").alias("c_w")), "w").select("u", "w", "c", "t_kept", "tables", "p", "sat", "c_w").mapInArrow(seat_pairs, "u long, w long, c long, t_kept double, t double, l array<double>"), "lm-seated")
+        if not kept:
+            strength = choose_strength(seated, state, inner, sampler)
         both = seated.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("t").alias("u"), F.lit(0.0).alias("w")), F.struct(F.col("w").alias("key"), F.lit(0.0).alias("u"), F.col("t").alias("w")))).alias("x")).select("x.*")
         both = both.groupBy("key").agg(F.sum("u").alias("u"), F.sum("w").alias("w"))
         zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
-        words = state.join(both, "key", "left").select("key", "word", (F.col("n_w") + zero("w")).cast("long").alias("n"), "dish", "n_u", "n_w", (F.col("n_u") + zero("u")).alias("tables"), "tables_kept", "p_kept")
-        words = materialize(words.mapInArrow(seat_words, "key long, word binary, n long, dish double, n_u long, n_w long, tables double, tables_kept double, p_kept double, t double"), "lm-words")
+        words = state.join(both, "key", "left").select("key", "word", (F.col("n_w") + zero("w")).cast("long").alias("n"), "dish", "n_u", "n_w", (F.col("n_u") + zero("u")).alias("tables"), "tables_kept", "p_kept", F.col("c").alias("customers"))
+        words = materialize(words.mapInArrow(seat_words, "key long, word binary, n long, dish double, n_u long, n_w long, tables double, tables_kept double, p_kept double, customers long, t double"), "lm-words")
         all_customers, all_tables = words.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double"), F.coalesce(F.sum("t"), F.lit(0.0))).first()
         p = (F.greatest(F.col("n") - F.lit(discount) * F.col("t"), F.lit(0.0)) + F.lit(sampler.word_strength + discount * all_tables) * F.col("dish")) / F.lit(all_customers + sampler.word_strength)
-        state = words.select("key", "word", "dish", "n_u", "n_w", "tables", p.alias("p"), (F.col("tables_kept") + kept * F.col("tables")).alias("tables_kept"), (F.col("p_kept") + kept * p).alias("p_kept"))
+        state = words.select("key", "word", F.col("customers").alias("c"), "dish", "n_u", "n_w", "tables", p.alias("p"), (F.col("tables_kept") + kept * F.col("tables")).alias("tables_kept"), (F.col("p_kept") + kept * p).alias("p_kept"))
         for x in old:  # the sweep before is no longer read
             if sweep:
                 common._written.remove(x)

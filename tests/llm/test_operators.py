@@ -1,6 +1,7 @@
 """Brute-force comparisons and edge cases of the training-data operators, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -295,6 +296,36 @@ def test_pitman_yor_perplexity(spark):
     assert got[41].perplexity > got[2].perplexity
 
 
+def test_pitman_yor_strength_of_all_contexts(spark):
+    """One context of many may decide, wherever it lies, since none is left out."""
+    rng = np.random.default_rng(3)
+    p, d = pitman_yor.Sampler(), 0.6
+    pairs = [(int(c), 1.0, int(c) + 3, 4.0, 0.001) for c in rng.integers(2, 9, 300)]
+    pairs += [(900, 600.0, 100_000, 9000.0, 0.009)] * 60
+    contexts = [(c + 3, 3, 4.0) for c, *_ in pairs[:300]] + [(100_000, 40, 9000.0)]
+
+    def brute(pairs, contexts):
+        out = []
+        for s in p.context_strengths:
+            x = sum(n * (math.log(s + d * (t - 1)) - math.log(c - 1 + s)) for c, n, t in contexts)
+            for c, t, sat, tables, parent in pairs:
+                others = min(t, c - 1)
+                x += c * math.log((c - 1 - d * others + (s + d * (tables - t + others)) * parent) / (sat - 1 + s))
+            out.append(x)
+        return out
+
+    def chosen(pairs, contexts):
+        sums = [[float(x) for x in pitman_yor.left_out(*(np.array(x, float) for x in zip(*part, strict=True)), d, p)] for part in (pairs[::2], pairs[1::2]) if part]
+        assert np.allclose(np.sum(sums, 0), brute(pairs, []))
+        seated = spark.createDataFrame([(x,) for x in sums] + [(None,)], "l array<double>")
+        return pitman_yor.choose_strength(seated, spark.createDataFrame(contexts, "c long, n_u long, tables double"), d, p)
+
+    best = lambda *x: p.context_strengths[int(np.argmax(brute(*x)))]
+    assert chosen(pairs, contexts) == best(pairs, contexts) != best(pairs[:300], contexts[:300]) == chosen(pairs[:300], contexts[:300])
+    nothing = spark.createDataFrame([], "l array<double>"), spark.createDataFrame([], "c long, n_u long, tables double")
+    assert pitman_yor.choose_strength(*nothing, d, p) == p.context_strengths[-1]
+
+
 def test_pitman_yor_weighs_word_order(spark):
     rng = random.Random(16)
     pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]

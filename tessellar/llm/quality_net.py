@@ -25,7 +25,7 @@ from .labelled import of_class
 
 WIDTH, STRIDE, HALF, EMBED, FILTERS = 8, 4, 512, 8, 16
 #: Bytes that are convolved at once.
-PIECE = 1 << 18
+PIECE = 1 << 15
 
 
 @dataclass

@@ -6,8 +6,10 @@ cuts, so that the memory a text takes while it is encoded is bounded.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ class UnitEncoder:
         ranks = read_ranks(ranks_path)
         self.whole = lambda: Tokenizer.from_file(tokenizer_path)  # rarely needed, and large
         self.tokenizer = None
-        special = {i: t.content for i, t in self.whole().get_added_tokens_decoder().items()}
+        special = {t["id"]: t["content"] for t in json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))["added_tokens"]}
         self.special = list(special.values())
         self.units = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max([*ranks.values(), *special]) + 1, np.int64)

@@ -166,3 +166,15 @@ def test_words_of_many_blocks_and_buckets(spark, monkeypatch):
     assert len(rows) == docs.count() + 4 and all(r["_bpe_block"] == "mine" and r["_bpe_0"] == "also mine" for r in rows)
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == r.id_list == own.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
+
+
+def test_scoring_takes_little_memory():
+    import tracemalloc
+
+    net, texts = quality_net.Net.fresh(1), [b"some words in a row " * 100] * 256
+    quality_net.scores(net, texts[:1])
+    tracemalloc.start()
+    quality_net.scores(net, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6e6  # every worker keeps what one batch took

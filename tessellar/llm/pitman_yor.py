@@ -11,8 +11,9 @@ The contexts' discount comes from the pairs seen once and twice; their strength
 customer of every context, left out once, most probable. Of a pair seen once that takes its context's numbers alone, so such pairs are summed by context.
 
 Counts cover the whole corpus. Words and pairs are counted where they lie, in blocks of BLOCK_DOCS documents, so that what is
-shuffled is one row per block and distinct word or pair; a block's words and pairs get their totals by one pass over them
-and come back to the block, where they meet its texts; pairs that the block alone holds, once, stay there. The byte restaurants are bounded by construction: at
+shuffled is one row per block and distinct word; a block's pairs travel packed, in the order of their hashes, one row for each bucket of
+pairs, as many as blocks. A bucket adds up its pairs: only those seen more than once become rows, those seen once are summed by word, and each block
+keeps its pairs' places, by which their weights come back to the block and meet its texts. The byte restaurants are bounded by construction: at
 most 2**18 with 256 dishes, so the model that is broadcast has a bounded size whatever the corpus.
 
 Null texts are empty: they hold the end token alone. Repeated rows count as often as they occur. An empty table
@@ -181,6 +182,24 @@ def _uniform(key: np.ndarray):
     return lambda i: ((_mix(key + np.array([i], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
+def seat_by_key(customers: np.ndarray, opens: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
+    """seat() with the numbers of each entry's key, for entries of like size at a time: most have few customers and take few steps."""
+    tables, low = np.zeros(len(customers)), 0
+    for high in (1, 2, 4, 8, 16, 32, 64, np.iinfo(np.int64).max):
+        at = np.flatnonzero((customers > low) & (customers <= high))
+        if len(at):
+            tables[at] = seat(customers[at], opens[at], discount, _uniform(key[at]))
+        low = high
+    return tables
+
+
+def forget(written: list) -> None:
+    """Drop tables that are no longer read."""
+    for x in written:
+        common._written.remove(x)
+        common.release(*x)
+
+
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(doc_id, bytes, held_out, block) of every row."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
@@ -213,7 +232,25 @@ def _codes(at: np.ndarray, end: int) -> np.ndarray:
     return (np.concatenate([[end], at[:-1]]) << 32) + at
 
 
-def _pairs(rows: pa.Table) -> pa.Table:
+def _hashed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(u.view(np.uint64)) + w.view(np.uint64)
+
+
+def _ordered(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of pairs by their hash, then by the pair: the same wherever it is made."""
+    h = _hashed(u, w)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    return np.lexsort((w, u, h)) if ((u[order[1:]] != u[order[:-1]]) & same).any() else order
+
+
+def _bucket(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the hash, so that the order of pairs is also that of their buckets."""
+    return (((_hashed(u, w) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pairs(rows: pa.Table, buckets: int) -> pa.Table:
+    """A block's pairs in order, packed into one row for each bucket of pairs that it meets."""
     number, codes = {END: 0}, ([], [])
     for text, held_out in zip(rows.column("text"), rows.column("held_out").to_pylist(), strict=True):
         codes[held_out].append(_codes(_numbered([text.as_py()], number)[0], 0))
@@ -225,8 +262,61 @@ def _pairs(rows: pa.Table) -> pa.Table:
     others = np.setdiff1d(np.concatenate([none, *codes[1]]), found)
     del codes
     found, n = np.concatenate([found, others]), np.concatenate([n, np.zeros(len(others), np.int64)])
+    u, w = keys[found >> 32], keys[found & 0xFFFFFFFF]
+    order = _ordered(u, w)
+    u, w, n = u[order], w[order], n[order]
+    place = _bucket(u, w, buckets)
+    met, at = np.unique(place, return_index=True)
+    cut = [slice(a, b) for a, b in zip(at, [*at[1:], len(u)], strict=True)]
+    packed = lambda x: pa.array([x[k].tobytes() for k in cut], pa.binary())
+    out = pa.table({"bucket": pa.array(met, pa.int32()), "block": pa.array([block] * len(met), pa.int32()), "u": packed(u), "w": packed(w), "n": packed(n)})
     pa.default_memory_pool().release_unused()
-    return pa.table({"block": pa.array(np.full(len(found), block, np.int32)), "u": keys[found >> 32], "w": keys[found & 0xFFFFFFFF], "n": n})
+    return out
+
+
+_PAIRS = "kind int, bucket int, block int, u long, w long, c long, n_u long, n_w long, at binary"
+
+
+def _joined(rows: pa.Table) -> pa.Table:
+    """A bucket's pairs from all blocks. kind 0: pairs seen more than once; 1: by word, the pairs and those seen once that it begins (c, n_u) and those seen once that it ends (n_w); 2: by block, for each of its pairs the place among those of kind 0, -1 if it was seen once, -2 if never in training."""
+    u, w, n = (np.frombuffer(b"".join(rows.column(k).to_pylist()), np.int64) for k in ("u", "w", "n"))
+    sizes = [len(x) // 8 for x in rows.column("u").to_pylist()]
+    order = _ordered(u, w)
+    u, w = u[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    starts = np.flatnonzero(new)
+    c = np.add.reduceat(n[order], starts)
+    u, w = u[starts], w[starts]
+    code = np.where(c > 1, np.cumsum(c > 1) - 1, c - 2).astype(np.int32)
+    code[c == 1] = -1
+    place = np.empty(len(order), np.int32)
+    place[order] = code[np.cumsum(new) - 1]
+    blocks = [x.tobytes() for x in np.split(place, np.cumsum(sizes)[:-1])]
+    many, once = c > 1, c == 1
+    begun = u[c > 0]
+    keys, local = np.unique(np.concatenate([begun, w[once]]), return_inverse=True)
+    count = lambda x, only=None: np.bincount(x, only, len(keys)).astype(np.int64)
+    first, last = local[: len(begun)], local[len(begun) :]
+    ends = count(first), count(first, once[c > 0].astype(np.float64)), count(last)
+    bucket, none = rows.column("bucket")[0].as_py(), lambda k: pa.nulls(k, pa.int64())
+    parts = [(0, pa.nulls(int(many.sum()), pa.int32()), pa.array(u[many]), pa.array(w[many]), pa.array(c[many]), *[none(int(many.sum()))] * 2, None)]
+    parts.append((1, pa.nulls(len(keys), pa.int32()), pa.array(keys), none(len(keys)), *map(pa.array, ends), None))
+    parts.append((2, rows.column("block").combine_chunks(), *[none(len(blocks))] * 5, pa.array(blocks, pa.binary())))
+    made = []
+    for kind, block, *columns, at in parts:
+        k = len(block)
+        made.append(pa.Table.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int32)), block, *columns, pa.nulls(k, pa.binary()) if at is None else at], names=["kind", "bucket", "block", "u", "w", "c", "n_u", "n_w", "at"]))
+    return pa.concat_tables(made)
+
+
+def _values(placed: pa.Table, seated: pa.Table, discount: float, keep: int) -> pa.Table:
+    """(block, bucket, values): what is left of the count of each pair of a block after its tables' discounts, in the order of pairs."""
+    u, w, c, t = (seated.column(k).to_numpy() for k in ("u", "w", "c", "t_kept"))
+    left = np.maximum(c - discount * t / keep, 0.0)[_ordered(u, w)]
+    left = np.concatenate([left, [0.0, 1 - discount]])  # -2: no count, -1: one customer at one table
+    told = [left[np.frombuffer(x, np.int32)].tobytes() for x in placed.column("at").to_pylist()]
+    return pa.table({"block": placed.column("block"), "bucket": placed.column("bucket"), "p": pa.array(told, pa.binary())})
 
 
 def left_out(c: np.ndarray, t: np.ndarray, sat: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float, p: Sampler) -> np.ndarray:
@@ -256,6 +346,7 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
     of_word = Window.partitionBy("word")
     totals = counted.select("block", "word", "key", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
     totals = materialize(totals, "lm-words")
+    of_words = common._written[-1:]
     types = totals.filter("first and c > 0")
     n_tokens, n_types, once, twice = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
@@ -278,12 +369,13 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
     model = sample(key >> 8, key & 255, n, sampler)
     shared = spark.sparkContext.broadcast((model, n_tokens, n_types))
 
-    of_pair = Window.partitionBy("u", "w")
-    pairs = blocked.groupBy("block").applyInArrow(_pairs, "block int, u long, w long, n long")
-    pairs = pairs.select("block", "u", "w", "n", F.sum("n").over(of_pair).alias("c"), (F.min("block").over(of_pair) == F.col("block")).alias("first"))
-    pairs = materialize(pairs.filter("c > 0"), "lm-pairs")
-    unique = pairs.filter("first").select("u", "w", "c")
-    once, twice = unique.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    pairs = blocked.groupBy("block").applyInArrow(lambda rows: _pairs(rows, blocks), "bucket int, block int, u binary, w binary, n binary")
+    pairs = materialize(pairs.groupBy("bucket").applyInArrow(_joined, _PAIRS), "lm-pairs")
+    of_pairs = common._written[-1:]
+    unique = pairs.filter("kind = 0").select("bucket", "u", "w", "c")
+    ends = pairs.filter("kind = 1").groupBy(F.col("u").alias("key")).agg(F.sum("n_u").alias("n_u"), F.sum("n_w").alias("n_w"), F.sum("c").cast("double").alias("tables"))
+    once = pairs.filter("kind = 1").agg(F.coalesce(F.sum("n_u"), F.lit(0))).first()[0]
+    twice = unique.filter("c = 2").count()
     inner = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
     strength = sampler.first_strength
 
@@ -292,50 +384,43 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dish(model(batch.column(1).to_pylist()), types, sampler))], names=[*batch.schema.names, "dish"])
 
-    # a word's pairs that occur once: it is the context of n_u, and the word of n_w
-    ends = unique.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.lit(1).alias("u"), F.lit(0).alias("w"), "c"), F.struct(F.col("w").alias("key"), F.lit(0).alias("u"), F.lit(1).alias("w"), "c"))).alias("x")).select("x.*")
-    single = F.when(F.col("c") == 1, 1).otherwise(0)
-    ends = ends.groupBy("key").agg(F.sum(F.col("u") * single).alias("n_u"), F.sum(F.col("w") * single).alias("n_w"), F.sum("u").cast("double").alias("tables"))
-    state = types.select("key", "word", "c").mapInArrow(dishes_of, "key long, word binary, c long, dish double").join(ends, "key")
-    state = materialize(state.select("key", "word", "c", "dish", "n_u", "n_w", "tables", (F.col("c") / F.lit(max(n_tokens, 1))).alias("p"), F.lit(0.0).alias("tables_kept"), F.lit(0.0).alias("p_kept")), "lm-state")
-    seated = materialize(unique.filter("c > 1").withColumn("t_kept", F.lit(0.0)).withColumn("t", F.lit(0.0)), "lm-seated")
+    state = types.select("key", "word", "c").mapInArrow(dishes_of, "key long, word binary, c long, dish double").join(ends, "key", "left").fillna(0, ["n_u", "n_w", "tables"])
+    state = materialize(state.select("key", "c", "dish", "n_u", "n_w", "tables", (F.col("c") / F.lit(max(n_tokens, 1))).alias("p"), F.lit(0.0).alias("tables_kept"), F.lit(0.0).alias("p_kept")), "lm-state")
+    seated = materialize(unique.withColumn("t_kept", F.lit(0.0)).withColumn("t", F.lit(0.0)), "lm-seated")
     all_tables, all_customers = float(n_types), 0.0
     for sweep in range(sampler.burn_in + sampler.keep):
         kept = float(sweep >= sampler.burn_in)
 
         def seat_pairs(batches: Iterator[pa.RecordBatch], sweep=sweep, kept=kept, strength=strength) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                u, w, c, before, tables, p, sat, c_w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
-                key = _mix(u.view(np.uint64)) + w.view(np.uint64) + np.uint64(sweep)
-                t = seat(c, (strength + inner * tables) * p, inner, _uniform(key))
+                u, w, c, before, tables, p, sat, c_w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 9))
+                key = _hashed(u, w) + np.uint64(sweep)
+                t = seat_by_key(c, (strength + inner * tables) * p, inner, key)
                 sums = [None] * len(t)
                 if len(t) and not kept:  # a batch's sums stand in its first row
                     sums[0] = left_out(c, t, sat, tables, (c_w - 0.9) / (n_tokens + 0.1 * n_types), inner, sampler)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before + kept * t), pa.array(t), pa.array(sums, pa.list_(pa.float64()))], names=["u", "w", "c", "t_kept", "t", "l"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(before + kept * t), pa.array(t), pa.array(sums, pa.list_(pa.float64()))], names=["bucket", "u", "w", "c", "t_kept", "t", "l"])
 
         def seat_words(batches: Iterator[pa.RecordBatch], sweep=sweep, all_tables=all_tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key, n, dishes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
-                t = seat(n, (sampler.word_strength + discount * all_tables) * dishes, discount, _uniform(_mix(key.view(np.uint64)) + np.uint64(sweep)))
+                key, n, dishes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                t = seat_by_key(n, (sampler.word_strength + discount * all_tables) * dishes, discount, _mix(key.view(np.uint64)) + np.uint64(sweep))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], names=[*batch.schema.names, "t"])
 
         old = common._written[-2:]
         by = lambda name, *x: state.select(F.col("key").alias(name), *x)  # noqa: B023, E731
-        seated = materialize(seated.select("u", "w", "c", "t_kept").join(by("u", "tables", F.col("c").alias("sat")), "u").join(by("w", "p", F.col("c").alias("c_w")), "w").select("u", "w", "c", "t_kept", "tables", "p", "sat", "c_w").mapInArrow(seat_pairs, "u long, w long, c long, t_kept double, t double, l array<double>"), "lm-seated")
+        seated = materialize(seated.select("bucket", "u", "w", "c", "t_kept").join(by("u", "tables", F.col("c").alias("sat")), "u").join(by("w", "p", F.col("c").alias("c_w")), "w").select("bucket", "u", "w", "c", "t_kept", "tables", "p", "sat", "c_w").mapInArrow(seat_pairs, "bucket int, u long, w long, c long, t_kept double, t double, l array<double>"), "lm-seated")
         if not kept:
             strength = choose_strength(seated, state, inner, sampler)
         both = seated.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("t").alias("u"), F.lit(0.0).alias("w")), F.struct(F.col("w").alias("key"), F.lit(0.0).alias("u"), F.col("t").alias("w")))).alias("x")).select("x.*")
         both = both.groupBy("key").agg(F.sum("u").alias("u"), F.sum("w").alias("w"))
         zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
-        words = state.join(both, "key", "left").select("key", "word", (F.col("n_w") + zero("w")).cast("long").alias("n"), "dish", "n_u", "n_w", (F.col("n_u") + zero("u")).alias("tables"), "tables_kept", "p_kept", F.col("c").alias("customers"))
-        words = materialize(words.mapInArrow(seat_words, "key long, word binary, n long, dish double, n_u long, n_w long, tables double, tables_kept double, p_kept double, customers long, t double"), "lm-words")
+        words = state.join(both, "key", "left").select("key", (F.col("n_w") + zero("w")).cast("long").alias("n"), "dish", "n_u", "n_w", (F.col("n_u") + zero("u")).alias("tables"), "tables_kept", "p_kept", F.col("c").alias("customers"))
+        words = materialize(words.mapInArrow(seat_words, "key long, n long, dish double, n_u long, n_w long, tables double, tables_kept double, p_kept double, customers long, t double"), "lm-words")
         all_customers, all_tables = words.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double"), F.coalesce(F.sum("t"), F.lit(0.0))).first()
         p = (F.greatest(F.col("n") - F.lit(discount) * F.col("t"), F.lit(0.0)) + F.lit(sampler.word_strength + discount * all_tables) * F.col("dish")) / F.lit(all_customers + sampler.word_strength)
-        state = words.select("key", "word", F.col("customers").alias("c"), "dish", "n_u", "n_w", "tables", p.alias("p"), (F.col("tables_kept") + kept * F.col("tables")).alias("tables_kept"), (F.col("p_kept") + kept * p).alias("p_kept"))
-        for x in old:  # the sweep before is no longer read
-            if sweep:
-                common._written.remove(x)
-                common.release(*x)
+        state = words.select("key", F.col("customers").alias("c"), "dish", "n_u", "n_w", "tables", p.alias("p"), (F.col("tables_kept") + kept * F.col("tables")).alias("tables_kept"), (F.col("p_kept") + kept * p).alias("p_kept"))
+        forget(old)  # the sweep before is no longer read
     new = (sampler.word_strength + discount * all_tables) / (all_customers + sampler.word_strength)
     kind = docs.schema["doc_id"].dataType
 
@@ -344,37 +429,39 @@ def score(docs: DataFrame, sampler: Sampler = Sampler()) -> DataFrame:
         words, back = found.filter(pc.is_valid(found.column("word"))), found.filter(pc.is_null(found.column("word")))
         known = words.column("word").to_pylist()
         c, tables, p, key = (pc.fill_null(words.column(k), 0).to_numpy() for k in ("c", "tables", "p", "u"))
+        weight = np.frombuffer(b"".join(back.sort_by("bucket").column("values").to_pylist()), np.float64)
         dishes = dish(model(known), types, sampler)
         p = np.where(c > 0, p, new * dishes)  # a word without training rows can only be a new table's
         base = np.log10((c + 0.1) / (n_all + 0.1 * (types + 1)))
         number = {w: i for i, w in enumerate(known)}
         seen = c > 0
-        ordered = np.argsort(key)
-        local = lambda k: ordered[np.searchsorted(key, back.column(k).to_numpy(), sorter=ordered)].astype(np.int64)
-        code = (local("u") << 32) + local("w")
-        order = np.argsort(code)
-        code, weight = code[order], back.column("p").to_numpy()[order]
         ats = _numbered(rows.column("text").to_pylist(), number)
         here = [_codes(at, number[END]) for at in ats]
-        trained = [x for x, out in zip(here, rows.column("held_out").to_pylist(), strict=True) if not out]
-        trained = np.unique(np.concatenate(trained)) if trained else np.zeros(0, np.int64)
-        inside = lambda x, y: (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else np.zeros(len(x), bool)
+        code = np.unique(np.concatenate(here)) if here else np.zeros(0, np.int64)
+        order = _ordered(key[code >> 32], key[code & 0xFFFFFFFF])
+        left = np.empty(len(code))
+        left[order] = weight  # the block's pairs came back in this order
         out: list[list] = [[], [], [], []]
         for at, pair in zip(ats, here, strict=True):
             u = pair >> 32
-            a = np.where(inside(pair, trained), 1 - inner, 0.0)  # once, in this block
-            sent = inside(pair, code)
-            a[sent] = weight[np.searchsorted(code, pair[sent])]
+            a = left[np.searchsorted(code, pair)]
             score = np.log10((a + (strength + inner * tables[u]) * p[at]) / (c[u] + strength))
             for column, value in zip(out, (len(at), int(seen[at].sum()), float(base[at].sum()), float(score.sum())), strict=True):
                 column.append(value)
         return pa.table([rows.column("doc_id"), rows.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([n_all] * len(out[0]), pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=schema.names)
 
+    of_seated, of_state = common._written[-2:-1], common._written[-1:]
     keep = F.lit(float(sampler.keep))
+    # one after the other, and what each has read goes, so that the disk need not hold it all
+    placed = pairs.filter("kind = 2").select("block", "bucket", "at")
+    back = placed.groupBy("bucket").cogroup(seated.select("bucket", "u", "w", "c", "t_kept").groupBy("bucket")).applyInArrow(lambda a, b: _values(a, b, inner, sampler.keep), "block int, bucket int, p binary")
+    back = materialize(back, "lm-back")
+    forget(of_pairs + of_seated)
+    back = back.select("block", *[F.lit(None).cast(t).alias(k) for k, t in (("word", "binary"), ("u", "long"), ("c", "long"), ("tables", "double"), ("p", "double"))], "bucket", F.col("p").alias("values"))
     words = totals.select("block", "word", "key", "c").join(state.select("key", (F.col("tables_kept") / keep).alias("tables"), (F.col("p_kept") / keep).alias("p")), "key", "left")
-    words = words.select("block", "word", F.col("key").alias("u"), F.lit(None).cast("long").alias("w"), "c", "tables", "p")
-    back = pairs.filter("c > 1 or n = 0").select("block", "u", "w", "c").join(seated.select("u", "w", "t_kept"), ["u", "w"], "left")
-    back = back.select("block", F.lit(None).cast("binary").alias("word"), "u", "w", "c", F.lit(None).cast("double").alias("tables"), F.greatest(F.col("c") - inner * F.coalesce(F.col("t_kept") / keep, F.lit(1.0)), F.lit(0.0)).alias("p"))
+    words = materialize(words, "lm-known")
+    forget(of_words + of_state)
+    words = words.select("block", "word", F.col("key").alias("u"), "c", "tables", "p", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("values"))
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType())]
         + [T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")]

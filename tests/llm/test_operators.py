@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 pytest.importorskip("tessellar.llm.queries")
@@ -326,6 +328,46 @@ def test_pitman_yor_strength_of_all_contexts(spark):
     assert pitman_yor.choose_strength(*nothing, d, p) == p.context_strengths[-1]
 
 
+def test_pitman_yor_pairs_travel_packed():
+    rng = random.Random(4)
+    blocks = [[(" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(0, 30))).encode(), rng.random() < 0.2) for _ in range(6)] for _ in range(4)]
+    counts, n_u, n_w, seen = Counter(), Counter(), Counter(), [set() for _ in blocks]
+    for held, block in zip(seen, blocks, strict=True):
+        for text, held_out in block:
+            words = [pitman_yor.key_of(w) for w in (b"", *text.split(), b"")]
+            held.update(zip(words, words[1:], strict=False))
+            counts.update({} if held_out else Counter(zip(words, words[1:], strict=False)))
+    n_u.update(u for (u, _), c in counts.items() if c == 1)
+    n_w.update(w for (_, w), c in counts.items() if c == 1)
+    packed = [pitman_yor._pairs(pa.table({"text": pa.array([t for t, _ in b], pa.binary()), "held_out": [h for _, h in b], "block": pa.array([i] * len(b), pa.int32())}), 3) for i, b in enumerate(blocks)]
+    sent = pa.concat_tables(packed)
+    assert sent.num_rows <= 3 * len(blocks)  # and not one for each pair
+    many, begun, ended, back = {}, Counter(), Counter(), [0] * len(blocks)
+    for bucket in range(3):
+        part = sent.filter(pc.equal(sent.column("bucket"), bucket))
+        out = pitman_yor._joined(part)
+        kind = lambda k, out=out: out.filter(pc.equal(out.column("kind"), k))
+        many |= {(r["u"], r["w"]): r["c"] for r in kind(0).to_pylist()}
+        for r in kind(1).to_pylist():
+            begun[r["u"]] += r["n_u"]
+            ended[r["u"]] += r["n_w"]
+        seated = kind(0).append_column("t_kept", pa.array([4.0] * kind(0).num_rows))
+        told = {r["block"]: np.frombuffer(r["p"], np.float64) for r in pitman_yor._values(kind(2), seated, 0.25, 4).to_pylist()}
+        for r in part.to_pylist():
+            pairs = zip(np.frombuffer(r["u"], np.int64).tolist(), np.frombuffer(r["w"], np.int64).tolist(), strict=True)
+            assert told[r["block"]].tolist() == [max(counts[x] - 0.25, 0.0) for x in pairs]
+            back[r["block"]] += len(told[r["block"]])
+    assert many == {x: c for x, c in counts.items() if c > 1} and any(c == 1 for c in counts.values())
+    assert +begun == +n_u and +ended == +n_w and back == [len(x) for x in seen]
+
+
+def test_pitman_yor_seats_by_size():
+    rng = np.random.default_rng(3)
+    c, key = rng.integers(0, 300, 500) // rng.integers(1, 100, 500), rng.integers(0, 2**63, 500).astype(np.uint64)
+    opens = rng.random(500) + 0.1
+    assert (pitman_yor.seat_by_key(c, opens, 0.5, key) == pitman_yor.seat(c, opens, 0.5, pitman_yor._uniform(key))).all()
+
+
 def test_pitman_yor_weighs_word_order(spark):
     rng = random.Random(16)
     pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
